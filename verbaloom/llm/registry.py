@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, simhash, substring
 
 
 def queries() -> dict:
-    return {"op2_best_fit_packing": packing.op2_best_fit_packing}
+    return {
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+        "op5_substring_dedup": substring.op5_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
