@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, substring
+from . import langid, packing, quality, simhash, substring, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.op1_language_id,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_substring_dedup": substring.op5_substring_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op9_quality_classifier": quality.op9_quality_classifier,
     }
 
 
