@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, simhash, substring, toxicity
+from . import decontam, langid, packing, quality, simhash, substring, topk, toxicity
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_substring_dedup": substring.op5_substring_dedup,
+        "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_exact_top_k": topk.op8_exact_top_k,
         "op9_quality_classifier": quality.op9_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_top_k": topk.OP8_SQL}
