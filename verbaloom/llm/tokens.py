@@ -7,6 +7,8 @@ import re
 #: Characters whose lower-casing and normalisation are plain, and which the tokenizer splits as ``_SPLIT`` does.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*", re.ASCII)
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
+_SLOT = re.compile(r"[\t-\r ]*(?:'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+)")
+_SPACED = re.compile(r"[\t-\r ]*[^\t-\r ]+")
 _SPACE = re.compile(r"[\t-\r ]+")
 #: Entries of the cache; it is emptied beyond that.
 CACHE_ENTRIES = 400_000
@@ -49,6 +51,28 @@ class WordBpe:
                 out.extend(_SPLIT.findall(word.lower()))
         return out
 
+    def slots(self, text: str) -> tuple[list[str], list[int]]:
+        """Pre-tokens as ``split`` gives them, and the characters of each with the white space before it.
+
+        White space at the end is left out.
+        """
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            low = text.lower()
+            return _SPLIT.findall(low), list(map(len, _SLOT.findall(low)))
+        keys: list[str] = []
+        sizes: list[int] = []
+        for spaced in _SPACED.findall(text):
+            word = spaced.lstrip("\t\n\v\f\r ")
+            if "<|" in word or not _PLAIN.fullmatch(word):
+                keys.append(word)
+                sizes.append(len(spaced))
+            else:
+                own = _SPLIT.findall(word.lower())
+                keys.extend(own)
+                sizes.extend(map(len, own))
+                sizes[-len(own)] += len(spaced) - len(word)
+        return keys, sizes
+
     def learn(self, lists: list[list[str]]) -> dict[str, bytes]:
         """The cache, with every pre-token of the lists in it."""
         new = set().union(*lists).difference(self.cache)
