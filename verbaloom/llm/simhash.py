@@ -45,16 +45,17 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long; null or empty texts have 0."""
+    """(doc_id, fp, text_hash) with fp as a signed long; null or empty texts have 0. text_hash tells rows of one doc_id apart."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_groups(batches):
             fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(make, "doc_id long, fp long, text_hash long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -177,6 +178,13 @@ def links(words: DataFrame, distance: int = 4) -> DataFrame:
     return cells.repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell").select(F.col("t").cast("long").alias("t"), "key", "cell", "fp").mapInArrow(search, "a long, b long")
 
 
+def rooted(fps: DataFrame, distance: int) -> DataFrame:
+    """(fp, first, root) for each distinct fingerprint: its smallest doc_id, and one fingerprint for all of its component."""
+    words = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = connected_components(links(words.select("fp"), distance))
+    return words.join(roots, words.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): documents linked, directly or through others, at ``distance`` bits or fewer.
 
@@ -184,14 +192,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     other); rows with a null doc_id count but give no name; repeated rows are kept. An empty table gives no rows.
     """
     fps = stored(fingerprints(docs, shingle), "fingerprints")
-    words = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(words.select("fp"), distance))
-    named = words.join(roots, words.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = rooted(fps, distance)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_word = named.join(least, "root").select("fp", "component_id")
     return fps.join(by_word, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The documents, with all their columns, but one row of each component of ``near_duplicates``: that of the smallest doc_id.
+
+    Among rows of that doc_id, the one with the smallest text hash stays; rows equal in both are one. A row with a null
+    doc_id stays only if no row of its component has an id. Texts are shuffled once.
+    """
+    fps = stored(fingerprints(docs, shingle), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    first = fps.groupBy("fp").agg(F.min(row).alias("row"))
+    least = first.join(rooted(fps, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    kept = least.select(F.coalesce("row.doc_id", F.lit(0)).alias("_id"), F.col("row.unnamed").alias("_unnamed"), F.col("row.text_hash").alias("_hash"))
+    mine = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_unnamed": F.col("doc_id").isNull(), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    key = ["_id", "_unnamed", "_hash"]
+    return mine.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 

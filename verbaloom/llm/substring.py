@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shared_path, ship, small_batches, stored
 
@@ -119,8 +120,8 @@ class Words:
         return np.cumsum(step[:-1]) > 0
 
 
-def chunks(docs: DataFrame, name: str) -> DataFrame:
-    """The texts in chunks: key, ids, lens (-1: null), raw (bytes), blob (zstd); bucketed by key."""
+def chunks(docs: DataFrame, name: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The texts in chunks: key, ids, lens (-1: null), raw (bytes), blob (zstd), rest (other columns, Arrow); bucketed by key."""
     spark = docs.sparkSession
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,24 +133,34 @@ def chunks(docs: DataFrame, name: str) -> DataFrame:
         ids: list = []
         texts: list = []
         raw = 0
+        rest: list[pa.RecordBatch] = []
 
         def chunk() -> pa.RecordBatch:
+            others = pa.Table.from_batches([b.select(b.schema.names[2:]) for b in rest]).combine_chunks()
+            with pa.ipc.new_stream(sink := pa.BufferOutputStream(), others.schema) as out:
+                out.write_table(others)
             return pa.RecordBatch.from_arrays(
                 [pa.array([key], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[-1 if t is None else len(t) for t in texts]], pa.list_(pa.int32())),
-                 pa.array([raw], pa.int64()), pa.array([pack.compress(b"".join(t for t in texts if t))], pa.binary())], names=["key", "ids", "lens", "raw", "blob"])
+                 pa.array([raw], pa.int64()), pa.array([pack.compress(b"".join(t for t in texts if t))], pa.binary()),
+                 pa.array([sink.getvalue().to_pybytes() if others.num_columns else None], pa.binary())], names=["key", "ids", "lens", "raw", "blob", "rest"])
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            begin = 0
+            for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if ids and raw + len(t or b"") > CHUNK:
+                    rest.append(batch.slice(begin, k - begin))
                     yield chunk()
-                    key, ids, texts, raw = key + 1, [], [], 0
+                    key, ids, texts, raw, rest, begin = key + 1, [], [], 0, [], k
                 ids.append(i)
                 texts.append(t)
                 raw += len(t or b"")
+            rest.append(batch.slice(begin))
         if ids:
             yield chunk()
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(make, "key long, ids array<long>, lens array<int>, raw long, blob binary")
+    others = [F.col(c).alias(f"rest_{k}") for k, c in enumerate(keep)]
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *others)
+    made = plain.mapInArrow(make, "key long, ids array<long>, lens array<int>, raw long, blob binary, rest binary")
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     made.write.format("parquet").option("compression", "none").option("path", shared_path(spark, name)).bucketBy(n, "key").saveAsTable(table := f"{name}_{uuid.uuid4().hex}")
     return spark.table(table)
@@ -235,7 +246,7 @@ def flags(bits: list[dict] | None, place: np.ndarray) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(b["bits"], dtype=np.uint8), count=b["n"]) for b in bits]).astype(bool)[place]
 
 
-def over_chunks(df: DataFrame, work: Callable[..., tuple[pa.Schema, dict]], schema: str, window: int) -> DataFrame:
+def over_chunks(df: DataFrame, work: Callable[..., tuple[pa.Schema, dict]], schema: str | T.StructType, window: int) -> DataFrame:
     """work(row, Words, texts) for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +255,8 @@ def over_chunks(df: DataFrame, work: Callable[..., tuple[pa.Schema, dict]], sche
                 row = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
                 texts = texts_of(row["lens"], row["blob"])
                 kind, columns = work(row, Words(texts, window), texts)
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in kind], schema=kind)
+                cells = (columns[f.name] for f in kind)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cells, kind, strict=True)], schema=kind)
 
     return df.mapInArrow(run, schema)
 
@@ -307,19 +319,19 @@ KEPT = "doc_id long, n_words long, n_removed long, text string"
 KEPT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, log: WindowLog | None = None, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, log: WindowLog | None = None, digest: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Per document (doc_id, n_words, n_removed, text): without the words covered by a window that starts anywhere else.
 
     Words are runs of bytes other than ASCII white space. A window is ``window`` consecutive words of one document; all
     its copies go, in the same document too. The text of a document that loses nothing is unchanged; of the others, the
     kept words are joined by one space. A null text stays null (no words); rows with null or repeated doc_ids are
     documents like any other; an empty table gives no rows. With ``log``, windows of earlier batches count as well, and
-    this batch's are added. With ``digest``, kept_sha256 (of the kept words joined by one space) replaces text.
+    this batch's are added. The columns named in ``keep`` follow unchanged, as rest_0, rest_1 and so on. With ``digest``, kept_sha256 (of the kept words joined by one space) replaces text.
     """
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
-    packed = chunks(docs, "chunks")
+    packed = chunks(docs, "chunks", keep)
     n = WindowLog.RANGES if log else max(24, -(-(packed.agg(F.sum("raw")).first()[0] or 0) // RANGE))
 
     def anchor_runs(row: dict, words: Words, texts: list) -> tuple[pa.Schema, dict]:
@@ -346,9 +358,17 @@ def remove_repeats(docs: DataFrame, window: int = 35, log: WindowLog | None = No
                 out.append(hashlib.sha256(b" ".join([x for x, g in zip(w, gone[a:b].tolist(), strict=True) if not g] if k else w)).hexdigest())
             else:
                 out.append(None if t is None else b" ".join([x for x, g in zip(t.split(), gone[a:b].tolist(), strict=True) if not g]) if k else t)
+        columns = {"doc_id": row["ids"], "n_words": words.counts, "n_removed": lost}
         if digest:
-            return DIGEST_ARROW, {"doc_id": row["ids"], "n_words": words.counts, "n_removed": lost, "kept_sha256": out}
-        return KEPT_ARROW, {"doc_id": row["ids"], "n_words": words.counts, "n_removed": lost, "text": [None if t is None else t.decode("utf-8", "replace") for t in out]}
+            kind, columns["kept_sha256"] = DIGEST_ARROW, out
+        else:
+            kind, columns["text"] = KEPT_ARROW, [None if t is None else t.decode("utf-8", "replace") for t in out]
+        if row["rest"] is not None:
+            with pa.ipc.open_stream(row["rest"]) as given:
+                rest = given.read_all().combine_chunks()
+            kind = pa.schema([*kind, *rest.schema])
+            columns |= {c: pa.concat_arrays(rest.column(c).chunks) for c in rest.schema.names}
+        return kind, columns
 
     log_used = log is not None
     if log is None:
@@ -362,7 +382,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, log: WindowLog | None = No
         runs.write.option("compression", "none").parquet(path)
         runs = spark.read.schema(RUN).parquet(path)
     found = merged(runs.union(log.runs()) if log else runs, 2).withColumnRenamed("bits", "window_bits")
-    out = over_chunks(known.join(found, "key", "left"), kept, DIGEST if digest else KEPT, window)
+    others = T.StructType([T.StructField(f"rest_{k}", docs.schema[c].dataType) for k, c in enumerate(keep)])
+    out = over_chunks(known.join(found, "key", "left"), kept, T.StructType([*T.StructType.fromDDL(DIGEST if digest else KEPT), *others]), window)
     if log:
         path = shared_path(spark, "kept")
         out.write.parquet(path)
@@ -371,6 +392,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, log: WindowLog | None = No
     return out
 
 
+def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """The documents, with all their columns (doc_id as a long), their texts as ``remove_repeats`` leaves them."""
+    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = remove_repeats(docs, window, keep=keep)
+    at = {c: f"rest_{k}" for k, c in enumerate(keep)} | {"doc_id": "doc_id", "text": "text"}
+    return out.select(*(F.col(at[c]).alias(c) for c in docs.columns))
+
+
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 

@@ -338,6 +338,24 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, net: Net) -> DataFrame:
+    """The documents, with all their columns, that ``score`` does not predict to be toxic; nothing is shuffled.
+
+    A null or empty text is scored as one empty window. Rows with null or repeated doc_ids are documents like any other.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    small_batches(spark)
+    given = spark.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_of(given.value)
+        for batch, texts in text_groups(batches, limit=3_000_000):
+            yield batch.filter(pa.array(sigmoid(scorer.logits(texts)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
