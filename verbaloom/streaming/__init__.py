@@ -1 +1 @@
-
+"""Annotated files that keep arriving."""
