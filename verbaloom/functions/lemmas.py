@@ -15,30 +15,30 @@ from . import vocab
 
 #: A lemma of more letters is filtered.
 LONGEST = 24
-_DOUBLED = "|".join(c + c for c in vocab.DOUBLED)
+#: What -ed is taken from: a doubled consonant becomes single. Words of under five letters keep it.
+_IED, _ED = "(?<=..)ied$", f"(?:(?<=.)([{vocab.DOUBLED}])\\1|(?<=..)(.))ed$"
+_EN = "^(.{3,})en$"
+_PARTICIPLE = "^(" + "|".join(vocab.JOINED_PARTICIPLES) + ")."
+#: The shortest first part, of 4 to 11 letters, of a word of nine letters or more whose second part begins like a word.
+_JOINED = "^(?=.{9})(.{4,11}?)(?:" + "|".join(vocab.JOINED_BEGINNINGS) + ")"
+
+
+def _table(words: dict[str, str]) -> Column:
+    return F.create_map(*map(F.lit, chain.from_iterable(words.items())))
 
 
 def without_ed(word: Column) -> Column:
-    """A word without its last two letters, a doubled consonant made single and a last i made y."""
-    base = F.substring(word, F.lit(1), F.length(word) - 2)
-    single = F.when((F.length(base) > 2) & base.rlike(f"({_DOUBLED})$"), F.substring(base, F.lit(1), F.length(base) - 1)).otherwise(base)
-    return F.regexp_replace(single, "i$", "y")
+    return F.regexp_replace(F.regexp_replace(word, _IED, "y"), _ED, "$1$2")
 
 
 def cut(lemma: Column) -> Column:
-    """The verb within a lower-case lemma that is a participle or two joined words; null if it is neither."""
-    ed, n = without_ed(lemma), F.length(lemma)
-    joined = F.lit(None).cast("string")
-    for past, verb in reversed(vocab.JOINED_PARTICIPLES.items()):
-        joined = F.when(lemma.startswith(past) & (n > len(past)), verb).otherwise(joined)
-    second = "^(" + "|".join(vocab.JOINED_BEGINNINGS) + ")"
-    ends = F.filter(F.sequence(F.lit(4), F.greatest(F.least(n, F.lit(12)) - 1, F.lit(4))), lambda e: F.substring(lemma, e + 1, n).rlike(second))
-    first = F.substring(lemma, F.lit(1), F.get(ends, F.lit(0)))
-    return (
-        F.when(lemma.endswith("ed") & (n > 4) & (F.length(ed) >= 3), ed)
-        .when(lemma.endswith("en") & (n > 4), F.substring(lemma, F.lit(1), n - 2))
-        .when(joined.isNotNull(), joined)
-        .when(n > 8, F.when(first.endswith("ed") & (F.length(first) > 4), without_ed(first)).otherwise(first))
+    """The verb within a lower-case lemma that is a participle or two joined words; null (or itself) if it is neither."""
+    part = lambda x, rule: F.nullif(F.regexp_extract(x, rule, 1), F.lit(""))
+    return F.coalesce(
+        F.when(lemma.endswith("ed"), part(without_ed(lemma), "^(.{3,})$")),
+        part(lemma, _EN),
+        F.element_at(_table(vocab.JOINED_PARTICIPLES), part(lemma, _PARTICIPLE)),
+        without_ed(part(lemma, _JOINED)),
     )
 
 
@@ -52,7 +52,6 @@ def validated(lemma: Column, strict: bool = True) -> Column:
 
     With ``strict`` off, participle endings are left alone, as most words that end so are spelled well.
     """
-    fixes = F.create_map(*map(F.lit, chain.from_iterable(vocab.VERB_CORRECTIONS.items())))
     known = lambda x: x.isin(*vocab.VERB_CORRECTIONS)
     given = F.lower(F.trim(lemma))
     shorter = cut if strict else lambda x: F.when(~x.rlike("(ed|en)$"), cut(x))
@@ -63,8 +62,13 @@ def validated(lemma: Column, strict: bool = True) -> Column:
         ended = new.isNull() | (new == word) | invalid(new)
         return F.struct(F.when(ended, word).otherwise(new).alias("word"), ended.alias("ended"))
 
+    def result(last: Column) -> Column:
+        bad = invalid(given)
+        final = F.coalesce(F.element_at(_table(vocab.VERB_CORRECTIONS), last), last)
+        status = F.when(bad, "filtered").when(known(given), "corrected").when(last != given, "tokenization_error").otherwise("valid")
+        return F.struct(F.when(~bad, final).alias("lemma"), status.alias("status"))
+
     start = F.struct(given.alias("word"), invalid(given).alias("ended"))
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(LONGEST)), start, step)["word"]
-    final = F.coalesce(F.element_at(fixes, last), last)
-    status = F.when(invalid(given), "filtered").when(known(given), "corrected").when(last != given, "tokenization_error").otherwise("valid")
-    return F.struct(F.when(~invalid(given), final).alias("lemma"), status.alias("status"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(LONGEST)), start, step, lambda at: at["word"])
+    # bound once, as it is read more than once
+    return F.get(F.transform(F.array(last), result), F.lit(0))

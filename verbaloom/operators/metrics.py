@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 NAMES = ["pattern", "n_tokens", "n_docs", "atp", "delta_p", "h_slot", "npmi", "dispersion", "g_squared", "p_value", "p_value_fdr"]
 
@@ -28,12 +29,15 @@ def p_value(g2: Column) -> Column:
     return F.when(g2 > 0, F.exp(-g2 / 2)).otherwise(F.lit(1.0))
 
 
-@F.pandas_udf("double")
-def exact_p_value(g2):  # pragma: no cover - runs in workers
-    """Tail of chi-square with one degree of freedom; Spark has no error function."""
-    import math
+def exact_p_value(g2: Column) -> Column:
+    """Tail of chi-square with one degree of freedom, in Arrow batches as Spark has no error function."""
 
-    return g2.map(lambda x: math.erfc(math.sqrt(x / 2)) if x > 0 else 1.0)
+    def tail(x):
+        from math import erfc, sqrt
+
+        return x.map(lambda v: erfc(sqrt(v / 2)) if v > 0 else 1.0)
+
+    return F.pandas_udf(tail, DoubleType(), F.PandasUDFType.SCALAR)(g2)
 
 
 def g_squared_contingency(o11: Column, o12: Column, o21: Column, o22: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import vocab
 from ..operators import acceptance, batches, filters, metrics, statistics, tree
@@ -29,7 +30,8 @@ def analyse(raw: DataFrame, normalize: bool = True, validate_lemmas: bool = True
     """Constructions to accepted patterns.
 
     All switches on is the full form; the validation form has normalize, validate_lemmas and doc_ids off, so that all rows
-    count as one document. An empty table gives empty results.
+    count as one document. An empty table gives empty results. Clean rows are kept (memory, then disk), as several
+    aggregates read them.
     """
     kept = filters.valid(raw)
     clean = kept if doc_ids else kept.withColumn("doc_id", F.lit(None).cast("string"))
@@ -37,6 +39,7 @@ def analyse(raw: DataFrame, normalize: bool = True, validate_lemmas: bool = True
         clean = batches.normalized(clean)
     if validate_lemmas:
         clean = batches.validated(clean, lemma_field, strict)
+    clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
     scored = statistics.with_instance_metrics(clean)
     formulaic = filters.formulaic(scored, atp, dpb, hr)
     return Analysis(raw, kept, scored, formulaic, acceptance.accept(metrics.pattern_metrics(formulaic), mode))

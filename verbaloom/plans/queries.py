@@ -115,8 +115,9 @@ def examples(spark, sf_dir):
     return experiments.examples(survivors(spark, sf_dir), accepted(spark, sf_dir))
 
 
-def _fixture(name: str, *cols: Column | str) -> Query:
-    return lambda spark, sf_dir: fixtures.table(spark, name).select(*cols)
+def _fixture(name: str, *cols: Callable[[], Column]) -> Query:
+    """``cols`` are made when the query runs, as columns need a session."""
+    return lambda spark, sf_dir: fixtures.table(spark, name).select("id", *(c() for c in cols))
 
 
 _words = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
@@ -180,19 +181,19 @@ QUERIES: dict[str, Query] = {
     "multi_schema_verbs": lambda s, d: filters.multi_schema_verbs(survivors(s, d).join(accepted(s, d).select("pattern"), "pattern", "left_semi")),
     "spatial_schemas": lambda s, d: valid(s, d).groupBy("pattern").agg(F.count("*").alias("n")).withColumn("is_spatial", filters.spatial(F.col("pattern"))),
     # classification and cleaning
-    "tam_classifier": _fixture("tam_cases", "id", classify.tam(_words("surface"), _words("lemmas"), F.col("modal")).alias("tam"), classify.has_modal(_words("lemmas")).alias("has_modal")),
-    "comp_classifier": _fixture("comp_cases", "id", classify.complement(_set("keys"), F.col("prep_head")).alias("comp")),
-    "subj_classifier": _fixture("subject_cases", "id", classify.subject_of_text(F.col("subject_text")).alias("subjtype")),
-    "enum_validate": _fixture("enum_cases", "id", classify.valid_tam(F.col("tam")).alias("tam_ok"), classify.valid_subject(F.col("subjtype")).alias("subj_ok"), classify.valid_complement(F.col("comp")).alias("comp_ok")),
+    "tam_classifier": _fixture("tam_cases", lambda: classify.tam(_words("surface"), _words("lemmas"), F.col("modal")).alias("tam"), lambda: classify.has_modal(_words("lemmas")).alias("has_modal")),
+    "comp_classifier": _fixture("comp_cases", lambda: classify.complement(_set("keys"), F.col("prep_head")).alias("comp")),
+    "subj_classifier": _fixture("subject_cases", lambda: classify.subject_of_text(F.col("subject_text")).alias("subjtype")),
+    "enum_validate": _fixture("enum_cases", lambda: classify.valid_tam(F.col("tam")).alias("tam_ok"), lambda: classify.valid_subject(F.col("subjtype")).alias("subj_ok"), lambda: classify.valid_complement(F.col("comp")).alias("comp_ok")),
     "extraposed": lambda s, d: fixtures.table(s, "filter_cases").select("id", filters.extraposed(F.col("subjtype"), F.col("subject_text"), F.col("surface")).alias("extraposed"), filters.reject_reason().alias("reason")),
-    "prep_normalize": _fixture("prep_cases", "id", normalize.preposition(F.col("prep")).alias("prep")),
+    "prep_normalize": _fixture("prep_cases", lambda: normalize.preposition(F.col("prep")).alias("prep")),
     "pattern_normalize": lambda s, d: batches.judged_complements(fixtures.table(s, "pattern_cases")).select("id", F.col("_comp").alias("comp"), F.col("_pattern").alias("pattern"), "outcome", "correction"),
     "normalize_counts": lambda s, d: batches.normalization_counts(fixtures.table(s, "pattern_cases")),
     "pattern_merge": lambda s, d: batches.merged_patterns(fixtures.table(s, "merge_cases"), "ord")[0],
     "pattern_merge_log": lambda s, d: batches.merged_patterns(fixtures.table(s, "merge_cases"), "ord")[1],
     "lemma_validate": lambda s, d: fixtures.table(s, "lemma_cases").withColumn("v", lemmas.validated(F.col("lemma"))).select("id", F.col("v.lemma").alias("lemma"), F.col("v.status").alias("status")),
     "lemma_counts": lambda s, d: batches.lemma_counts(valid(s, d)),
-    "jaccard_sets": _fixture("set_cases", "id", r6(compare.jaccard_of_arrays(_set("a"), _set("b"))).alias("jaccard")),
+    "jaccard_sets": _fixture("set_cases", lambda: r6(compare.jaccard_of_arrays(_set("a"), _set("b"))).alias("jaccard")),
     # files and trees
     "asc_parse": lambda s, d: files.asc_tokens(fixtures.table(s, "asc_files")),
     "asc_profile": lambda s, d: files.asc_profile(fixtures.table(s, "asc_files")),

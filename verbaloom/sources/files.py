@@ -81,7 +81,7 @@ def read_corpus(spark: SparkSession, path: str, id_column: str = "doc_id", text_
 
 def read_instances(spark: SparkSession, path: str) -> DataFrame:
     """INSTANCES from CSV; a missing boundary entropy is infinite, other missing numbers 0."""
-    raw = spark.read.option("header", True).option("escape", '"').option("positiveInf", "inf").option("enforceSchema", False).schema(INSTANCES).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("positiveInf", "inf").option("enforceSchema", False).schema(INSTANCES).csv(path)
     return raw.withColumns({"instance_atp": F.coalesce("instance_atp", F.lit(0.0)), "instance_dpb": F.coalesce("instance_dpb", F.lit(0.0)), "instance_hr": F.coalesce("instance_hr", F.lit(float("inf")))})
 
 
