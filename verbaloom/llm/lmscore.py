@@ -156,6 +156,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, tokenizer: str)
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     tokens = tokenised(docs, tokenizer)
     chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    # a target grows with the corpus, so it is never broadcast: one way at every size
+    chosen = chosen.hint("merge")
     pair = count(tokens.join(chosen, "doc_id", "left").select("ids", F.coalesce("target", F.lit(False)).alias("target")), vocabulary)
     return score(tokens, pair)
 
