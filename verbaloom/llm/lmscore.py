@@ -1,147 +1,179 @@
 """Cross-entropy difference of two matched n-gram models.
 
-Target and background models share the tokenizer's vocabulary, order, smoothing, and bigram buckets; the background's
-counts are scaled to the target's size. Each token of a document has a loss under either; the mean of their differences
-is its score (lower: more like the target).
+Target and background models share the tokenizer's vocabulary, order, and smoothing; the background's counts are scaled
+to the target's size. Each token of a document has a loss under either; the mean of their differences is its score
+(lower: more like the target). Bigrams are counted exactly: their table grows with the corpus, stays distributed, and
+is joined to the bigrams of each chunk of documents.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ship, small_batches, stored, text_groups
+from .common import documents, shared_path, ship, small_batches, stored, text_groups
 from .tokens import word_bpe
 
-#: Bigrams are counted in 2 ** BUCKETS hash buckets, so that a model has a fixed size however large the corpus.
-BUCKETS = 22
 #: Strength of the unigram prior in a bigram's probability, and of the uniform one in a unigram's, in counts.
 PRIOR, FLAT = 50.0, 0.5
+#: Tokens of a chunk (a longer document is one of its own), and what a document counts besides its tokens.
+CHUNK, EACH = 1 << 22, 16
+#: Rows of bigrams that an Arrow batch holds.
+PAIRS = 100_000
 
 
-def buckets(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    x = (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x >> np.uint64(64 - BUCKETS)).astype(np.int64)
-
-
-def flat(rows: list[bytes | None], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all rows, the id before each (``start`` at a row's first), and the rows' sizes."""
-    size = np.array([len(r) // 2 if r else 0 for r in rows], dtype=np.int64)
-    ids = np.frombuffer(b"".join(r for r in rows if r), dtype=np.uint16).astype(np.int64)
+def keys(ids: np.ndarray, size: np.ndarray, start: int) -> np.ndarray:
+    """(id before << 16 | id) of each token of texts of the given sizes; before a text's first one is ``start``."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     some = size[size > 0]
     before[np.cumsum(some) - some] = start
-    return ids, before, size
+    return (before.astype(np.uint32) << np.uint32(16)) | ids
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    s = np.sort(values)
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]][: len(s)])
+    return s[first], np.diff(np.r_[first, len(s)])
 
 
-def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, ids): token ids as little-endian unsigned 16-bit integers, written to the shared folder."""
-    ship(docs.sparkSession)
-    small_batches(docs.sparkSession)
+def chunks(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """The documents in chunks: chunk, doc_ids, sizes (tokens), ids (little-endian unsigned 16-bit integers); bucketed by chunk."""
+    spark = docs.sparkSession
+    ship(spark)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         bpe = word_bpe(tokenizer)
         if bpe.tokenizer.get_vocab_size() >= 1 << 16:
             raise ValueError("the vocabulary needs more than 16 bits")
+        key, names, sizes, coded, weight = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(coded)], pa.binary())],
+                names=["chunk", "doc_ids", "sizes", "ids"],
+            )
+
         for batch, texts in text_groups(batches):
-            ids = [np.frombuffer(x, dtype=np.uint32).astype(np.uint16).tobytes() for x in bpe.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for name, x in zip(batch.column(0).to_pylist(), bpe.encode(texts), strict=True):
+                ids = np.frombuffer(x, dtype=np.uint32).astype(np.uint16).tobytes()
+                cost = len(ids) // 2 + EACH
+                if names and weight + cost > CHUNK:
+                    yield chunk()
+                    key, names, sizes, coded, weight = key + 1, [], [], [], 0
+                names.append(name)
+                sizes.append(len(ids) // 2)
+                coded.append(ids)
+                weight += cost
+        if names:
+            yield chunk()
+
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "chunk long, doc_ids array<long>, sizes array<long>, ids binary")
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    made.write.format("parquet").option("compression", "zstd").option("path", shared_path(spark, "token-ids")).bucketBy(n, "chunk").saveAsTable(table := f"token_ids_{uuid.uuid4().hex}")
+    return spark.table(table)
+
+
+def pairs(coded: DataFrame, target: DataFrame, vocabulary: int) -> DataFrame:
+    """(chunk, key, background, target) for each distinct bigram of each chunk: how often it occurs there in all documents, and in those of ``target`` (doc_id)."""
+    spark = coded.sparkSession
+    places = coded.select("chunk", F.posexplode("doc_ids").alias("place", "doc_id"))
+    # a target grows with the corpus, so it is never broadcast: one way at every size
+    places = places.join(target.hint("merge"), "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("place").alias("places"))
+    marked = coded.select("chunk", "sizes", "ids").join(places.hint("merge"), "chunk", "left").select("chunk", "sizes", "ids", "places")
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary"), "token-ids")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size = np.array(batch.column(1)[i].as_py(), dtype=np.int64)
+                key = keys(np.frombuffer(batch.column(2)[i].as_py(), dtype=np.uint16), size, vocabulary)
+                mine = np.zeros(len(size), dtype=bool)
+                mine[batch.column(3)[i].as_py() or []] = True
+                cell, n = distinct(key)
+                some, m = distinct(key[np.repeat(mine, size)])
+                t = np.zeros_like(n)
+                t[np.searchsorted(cell, some)] = m
+                for a in range(0, len(cell), PAIRS):
+                    c = slice(a, a + PAIRS)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(cell[c]), batch.column(0)[i].as_py(), np.int64)), pa.array(cell[c].astype(np.int64)), pa.array(n[c].astype(np.int64)), pa.array(t[c].astype(np.int64))],
+                        names=["chunk", "key", "background", "target"],
+                    )
+
+    small_batches(spark, 1)
+    out = stored(marked.mapInArrow(run, "chunk long, key long, background long, target long"), "bigrams")
+    small_batches(spark)
+    return out
 
 
 @dataclass
 class Model:
-    """Counts of one model: tokens by id, by id as a context (the start of a text is the last), bigrams by bucket."""
+    """What a model knows of single tokens: counts by id, and by id as a context (the start of a text is the last)."""
 
     one: np.ndarray
     context: np.ndarray
-    two: np.ndarray
-
-    def bits(self, before: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Loss of each token in bits."""
-        one = (self.one[ids] + FLAT) / (self.one.sum(dtype=np.float64) + FLAT * len(self.one))
-        return -np.log2((self.two[at] + PRIOR * one) / (self.context[before] + PRIOR))
-
 
-@dataclass
-class Pair:
-    target: Model
-    background: Model
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
-
-
-def count(tokens: DataFrame, vocabulary: int) -> Pair:
-    """The models of (ids, target: boolean): the background has all rows, the target those marked."""
-    ship(tokens.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, context, two = (np.zeros((2, n), dtype=np.int64) for n in (vocabulary, vocabulary + 1, 1 << BUCKETS))
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                ids, before, size = flat(part.column(0).to_pylist(), vocabulary)
-                at = buckets(before, ids)
-                mine = np.repeat(np.asarray(part.column(1).fill_null(False)).astype(bool), size)
-                for k, keep in enumerate((slice(None), mine)):
-                    one[k] += np.bincount(ids[keep], minlength=vocabulary)
-                    context[k] += np.bincount(before[keep], minlength=vocabulary + 1)
-                    cell, n = np.unique(at[keep], return_counts=True)
-                    two[k][cell] += n
-        for kind, table in enumerate((one, context, two)):
-            cell = np.flatnonzero(table[0])
-            for a in range(0, len(cell), 100_000):
-                c = cell[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int32)), pa.array(c.astype(np.int32)), pa.array(table[0][c]), pa.array(table[1][c])], names=["kind", "cell", "background", "target"])
-
-    small_batches(tokens.sparkSession)
-    counted = tokens.select("ids", "target").mapInArrow(run, "kind int, cell int, background long, target long").groupBy("kind", "cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    # at most 2 * vocabulary + 1 + 2 ** BUCKETS rows
-    got = counted.toArrow()
-    kind, cell = got["kind"].to_numpy(), got["cell"].to_numpy()
-    tables: dict[str, list[np.ndarray]] = {}
-    for name in ("target", "background"):
-        value = got[name].to_numpy()
-        tables[name] = []
-        for k, n in enumerate((vocabulary, vocabulary + 1, 1 << BUCKETS)):
-            t = np.zeros(n, dtype=np.float32)
-            t[cell[kind == k]] = value[kind == k]
-            tables[name].append(t)
-    size = [max(1.0, float(tables[n][0].sum(dtype=np.float64))) for n in ("target", "background")]
-    return Pair(Model(*tables["target"]), Model(*(t * np.float32(size[0] / size[1]) for t in tables["background"])))
-
-
-def score(tokens: DataFrame, pair: Pair) -> DataFrame:
-    """Per row of (doc_id, ids): n_tokens, target_bits and background_bits (mean loss a token), score (their difference); null without tokens."""
-    spark = tokens.sparkSession
-    ship(spark)
-    small_batches(spark)
-    given, vocabulary = spark.sparkContext.broadcast(pair), len(pair.target.one)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = given.value
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                ids, before, size = flat(part.column(1).to_pylist(), vocabulary)
-                at, end = buckets(before, ids), np.cumsum(size)
-                means = []
-                for m in (models.target, models.background):
-                    total = np.r_[0.0, np.cumsum(m.bits(before, ids, at), dtype=np.float64)]
-                    means.append((total[end] - total[end - size]) / np.maximum(size, 1))
-                none = size == 0
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], names=["doc_id", "n_tokens", "target_bits", "background_bits", "score"])
-
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")
+    def bits(self, key: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Loss in bits of each bigram (a key as ``keys`` gives it), given its exact count."""
+        before, ids = key >> 16, key & 0xFFFF
+        one = (self.one[ids] + FLAT) / (self.one.sum() + FLAT * len(self.one))
+        return -np.log2((two + PRIOR * one) / (self.context[before] + PRIOR))
+
+
+def singles(counts: DataFrame, vocabulary: int) -> tuple[Model, Model, float]:
+    """The single-token counts of target and background (scaled), and the scale of the latter; counts: (key, background, target)."""
+    tables = []
+    for part, n in ((F.col("key").bitwiseAND(0xFFFF), vocabulary), (F.shiftright("key", 16), vocabulary + 1)):
+        # at most vocabulary + 1 rows
+        got = counts.groupBy(part.cast("int").alias("id")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
+        t = np.zeros((2, n))
+        for k, name in enumerate(("target", "background")):
+            t[k][got["id"].to_numpy()] = got[name].to_numpy()
+        tables.append(t)
+    one, context = tables
+    size = np.maximum(1.0, one.sum(axis=1))
+    scale = float(size[0] / size[1])
+    return Model(one[0], context[0]), Model(one[1] * scale, context[1] * scale), scale
+
+
+def score(coded: DataFrame, counted: DataFrame, models: tuple[Model, Model, float], vocabulary: int) -> DataFrame:
+    """Per document: n_tokens, target_bits and background_bits (mean loss a token), score (their difference); null without tokens.
+
+    ``counted`` has (chunk, key, background, target), with the corpus's counts, for every bigram of each chunk.
+    """
+    spark = coded.sparkSession
+    given = spark.sparkContext.broadcast(models)
+    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_bits", pa.float64()), ("background_bits", pa.float64()), ("score", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        target, background, scale = given.value
+        cell = right["key"].to_numpy()
+        order = np.argsort(cell)
+        cell = cell[order]
+        losses = (target.bits(cell, right["target"].to_numpy()[order]), background.bits(cell, right["background"].to_numpy()[order] * scale))
+        parts = []
+        for i in range(left.num_rows):
+            size = np.array(left["sizes"][i].as_py(), dtype=np.int64)
+            at = np.searchsorted(cell.astype(np.uint32), keys(np.frombuffer(left["ids"][i].as_py(), dtype=np.uint16), size, vocabulary))
+            end, none, means = np.cumsum(size), size == 0, []
+            for loss in losses:
+                total = np.r_[0.0, np.cumsum(loss[at])]
+                means.append((total[end] - total[end - size]) / np.maximum(size, 1))
+            parts.append(pa.Table.from_arrays([pa.array(left["doc_ids"][i].as_py(), pa.int64()), pa.array(size), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], schema=out))
+        return pa.concat_tables(parts) if parts else out.empty_table()
+
+    small_batches(spark, PAIRS)
+    return coded.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, tokenizer: str) -> DataFrame:
@@ -154,12 +186,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, tokenizer: str)
     from tokenizers import Tokenizer
 
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
-    tokens = tokenised(docs, tokenizer)
-    chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    # a target grows with the corpus, so it is never broadcast: one way at every size
-    chosen = chosen.hint("merge")
-    pair = count(tokens.join(chosen, "doc_id", "left").select("ids", F.coalesce("target", F.lit(False)).alias("target")), vocabulary)
-    return score(tokens, pair)
+    coded = chunks(docs, tokenizer)
+    found = pairs(coded, target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), vocabulary)
+    counts = stored(found.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "bigram-counts")
+    # one way at every size: the table of bigrams grows with the corpus
+    counted = found.select("chunk", "key").join(counts.hint("merge"), "key")
+    return score(coded, counted, singles(counts, vocabulary), vocabulary)
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
