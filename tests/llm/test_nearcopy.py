@@ -1,0 +1,33 @@
+import random
+
+import corpus_pipeline
+import numpy as np
+
+from verbaloom.llm.common import components
+
+
+def grams(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_the_stage_drops_every_near_copy_of_similarity_08(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    texts = [None, "", "One", "one", "two words"]
+    for _ in range(20):
+        base = [word() for _ in range(r.choice([30, 120, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            new = list(base)
+            for _ in range(r.randint(0, len(base) // 30)):
+                new[r.randrange(len(new))] = word()
+            texts.append(" ".join(new).title())
+    sets = [grams(t) for t in texts]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    want = components(len(texts), *np.nonzero(near))
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, root string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(x.doc_id for x in got.collect()) == sorted(set(want.tolist()))
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0

@@ -1,0 +1,131 @@
+"""Near-copies by the exact similarity of their shingle sets.
+
+Two documents are linked if the Jaccard similarity of their sets of word shingles is high enough. Candidates agree in
+all min-hashes of one band at least; every candidate is verified on the whole sets. Each band first links its members to
+its smallest one; members that this leaves in different components are then compared pair by pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import ship, small_batches, stored, text_groups
+from .graph import connected_components
+from .simhash import keep_rows
+
+#: Of pairs at a similarity of 0.8, (1 - 0.8 ** ROWS) ** BANDS = 2.6e-5 share no band.
+BANDS, ROWS = 20, 4
+_R = np.random.Generator(np.random.PCG64(80))
+FLIP, TIMES = (_R.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+TIMES = TIMES | np.uint64(1)
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles (ASCII lower-cased); a shorter text is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    k = min(k, len(words))
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(g)) for g in zip(*(words[i:] for i in range(k)))), dtype=np.uint64, count=len(words) - k + 1))
+
+
+def min_hashes(values: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    for a in range(0, len(values), 1024):
+        np.minimum(least, ((values[None, a : a + 1024] ^ FLIP[:, None]) * TIMES[:, None]).min(axis=1), out=least)
+    return least
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, fp, n, bands, sketch): fp is a hash of the whole shingle set, n its size, sketch 8 bits of each min-hash."""
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch, texts in text_groups(batches):
+            sets = [shingles(t, shingle) for t in texts]
+            low = [min_hashes(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(np.array([xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([np.array([xxh64_intdigest(x.tobytes()) for x in m.reshape(BANDS, ROWS)], dtype=np.uint64).view(np.int64).tolist() for m in low], pa.list_(pa.int64())),
+                 pa.array([(m >> np.uint64(56)).astype(np.uint8).tobytes() for m in low], pa.binary())], names=["doc_id", "text_hash", "fp", "n", "bands", "sketch"])
+
+    text = F.col("text").cast("string")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return given.mapInArrow(make, "doc_id long, text_hash long, fp long, n long, bands array<long>, sketch binary")
+
+
+def likely(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b: fp) whose sizes allow the similarity and of whose min-hashes half agree at least (at 0.8, fewer do in one pair of 10^9)."""
+    side = lambda x: words.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity - 1e-9))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS) for i in (2, 3))
+                yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= 0.5))
+
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose sets have the similarity. Only the sets of documents in a pair are made again, from their texts."""
+    pairs = stored(pairs, "candidates")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(words, "fp").select("fp", F.coalesce("row.doc_id", F.lit(0)).alias("_id"), F.col("row.unnamed").alias("_unnamed"), F.col("row.text_hash").alias("_hash"))
+    text = F.col("text").cast("string")
+    mine = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_unnamed"), F.xxhash64(text).alias("_hash"), text.alias("text"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_groups(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, shingle).tobytes() for t in texts], pa.binary())], names=["fp", "set"])
+
+    small_batches(docs.sparkSession)
+    sets = stored(mine.join(needed, ["_id", "_unnamed", "_hash"]).dropDuplicates(["fp"]).select("fp", "text").mapInArrow(make, "fp long, set binary"), "sets", "none")
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(c)[i].as_py(), dtype=np.uint64) for c in (2, 3))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: sets.select(F.col("fp").alias(x), F.col("set").alias(f"set_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(same, "a long, b long")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, with all their columns, but one row of each component of near-copies, as ``simhash.keep_one`` chooses it.
+
+    Near-copies have a Jaccard similarity of ``similarity`` or more, directly or through others; texts without words are
+    near-copies of each other.
+    """
+    made = stored(sketches(docs, shingle), "sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    words = stored(made.groupBy("fp").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "shingle-sets")
+    keys = words.where("n > 0").select("fp", F.posexplode("bands").alias("t", "key"))
+    shared = keys.groupBy("t", "key").agg(F.count("*").alias("many"), F.min("fp").alias("least")).where("many > 1")
+    members = stored(keys.join(shared, ["t", "key"]).select("t", "key", "fp", "least"), "band-members")
+    near = stored(verified(likely(members.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")), words, similarity), docs, words, shingle, similarity), "near-copies")
+    roots = stored(connected_components(near), "roots")
+    # what the smallest member of a band did not link is compared with all members of other components
+    placed = members.join(roots, members.fp == roots.node, "left").select("t", "key", "fp", F.coalesce("root", "fp").alias("root"))
+    open_ = placed.groupBy("t", "key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("many")).where("x <> y and many > 2").select("t", "key")
+    placed = stored(placed.join(open_, ["t", "key"]), "open-bands")
+    a, b = (placed.select("t", "key", F.col("fp").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    rest = likely(a.join(b, ["t", "key"]).where("a < b and root_a <> root_b").select("a", "b"), words, similarity)
+    more = stored(verified(rest, docs, words, shingle, similarity), "near-copies")
+    all_ = connected_components(near.union(more))
+    least = words.join(all_, words.fp == all_.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row"))
+    return keep_rows(docs, least)

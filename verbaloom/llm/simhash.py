@@ -208,6 +208,11 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     first = fps.groupBy("fp").agg(F.min(row).alias("row"))
     least = first.join(rooted(fps, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    return keep_rows(docs, least)
+
+
+def keep_rows(docs: DataFrame, least: DataFrame) -> DataFrame:
+    """The documents that ``least`` names (row: unnamed, doc_id, text_hash), each once."""
     kept = least.select(F.coalesce("row.doc_id", F.lit(0)).alias("_id"), F.col("row.unnamed").alias("_unnamed"), F.col("row.text_hash").alias("_hash"))
     mine = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_unnamed": F.col("doc_id").isNull(), "_hash": F.xxhash64(F.col("text").cast("string"))})
     key = ["_id", "_unnamed", "_hash"]
