@@ -28,6 +28,7 @@ def folder(tmp_path, names=tuple(ASC)):
 
 def test_annotated_files(spark, tmp_path):
     given = files.read_asc_files(spark, folder(tmp_path))
+    assert {r.doc_id: r.value for r in given.collect()} == {k: v for k, v in ASC.items() if v}
     got = sorted(map(tuple, files.asc_tokens(given).collect()), key=str)
     assert got == [("A1", 1, 1, "It", "it", None), ("A1", 1, 2, "is", "be", "ATTR"), ("A1", 1, 3, "time", "time", None), ("A1", 1, 4, "now", "now", None), ("A1", 2, 1, "seen", "see", "PASSIVE"), ("A2", 1, 1, "x", "y", "PASSIVE")]
     assert [r.doc_id for r in files.failed_files(given).collect()] == ["A3"]
@@ -66,7 +67,7 @@ WANT = {
 
 
 def test_trees(spark):
-    tokens, parse = fixtures.trees(spark)
+    tokens, parse = (x.where("doc_id = 'T1'") for x in fixtures.trees(spark))
     rows = tree.constructions(tokens.withColumn("h", F.lit(1)), parse.withColumn("kids", F.lit("x"))).collect()
     assert {r.sent_idx: (r.surface, r.pattern, r.subjtype, r.head_lemma, r.subject_text, r.aux_chain, r.following_word) for r in rows} == WANT
     kept = {r.sent_idx: r.complements for r in rows}
@@ -99,7 +100,7 @@ def test_subtrees_equal_a_walk(spark):
 
 
 def test_from_tags_to_patterns(spark):
-    tokens, parse = fixtures.trees(spark)
+    tokens, parse = (x.where("doc_id = 'T1'") for x in fixtures.trees(spark))
     known = {(r.doc_id, r.sent_idx): [] for r in parse.collect()}
     for r in parse.collect():
         known[r.doc_id, r.sent_idx].append(tuple(r))

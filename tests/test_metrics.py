@@ -68,6 +68,9 @@ def test_fdr(spark):
 
 
 def test_exact_p_value_and_contingency(spark):
+    values = [0.0, 0.3, 3.841458820694124, 12.4, 12.6, 60.0, 900.0, None, -1.0]
+    got = [r.p for r in spark.createDataFrame(list(enumerate(values)), "k int, g double").orderBy("k").select(metrics.exact_p_value(F.col("g")).alias("p")).collect()]
+    assert got[7] is None and [x for x in got if x is not None] == pytest.approx([math.erfc(math.sqrt(max(v, 0) / 2)) for v in values if v is not None], rel=1e-12)
     row = spark.range(1).select(metrics.exact_p_value(F.lit(3.841458820694124)).alias("p"), metrics.g_squared_contingency(*map(F.lit, (10, 20, 30, 5))).alias("g"), metrics.g_squared_contingency(*map(F.lit, (0, 0, 0, 0))).alias("z")).first()
     assert row.p == pytest.approx(0.05, abs=1e-6)
     o, n = [[10, 20], [30, 5]], 65
@@ -143,13 +146,24 @@ def test_shuffles_keep_marginals(spark):
     assert count(verbs, "tam", "head_lemma") == count(rows, "tam", "head_lemma")
     # any number of bucket digits ranks alike
     order = lambda d: sorted((r.row_id, r.rn) for r in experiments.ranked(rows, [], experiments.hashed(1, "row_id"), "row_id", d).collect())
-    assert order(1) == order(3) and sorted(x for _, x in order(2)) == list(range(1, 61))
+    assert order(0) == order(1) == order(3) and sorted(x for _, x in order(2)) == list(range(1, 61))
 
 
-def test_verb_shortcut_equals_full_metrics(spark):
+def test_replicates_need_no_more_than_lane_metrics(spark):
     rows = rows_for_shuffles(spark, 200)
-    full = experiments.replicate_results(rows, experiments.verb_shuffle(rows, 3), 3)
-    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, experiments.verb_shuffle_results(rows, 3).collect()))
+    for column, copies in (("tam", experiments.tam_shuffle), ("head_lemma", experiments.verb_shuffle)):
+        many = copies(rows, 3).persist()
+        full = {(r.iter, r.pattern): r for r in metrics.pattern_metrics(many, ["iter"]).collect()}
+        lean = metrics.lane_metrics(many, ["iter"]).collect()
+        assert len(lean) == len(full)
+        for r in lean:
+            assert (r.n_tokens, r.h_slot, r.npmi, r.g_squared, r.p_value) == pytest.approx(tuple(full[r.iter, r.pattern][c] for c in ("n_tokens", "h_slot", "npmi", "g_squared", "p_value")), abs=1e-9)
+        real = {r.pattern for r in acceptance.accept(metrics.pattern_metrics(rows)).where("accepted").collect()}
+        got = {r.iter: (r.n_accepted, r.n_shared, r.n_real) for r in experiments.shuffle_results(rows, column, 3).collect()}
+        for k in range(3):
+            mine = {r.pattern for r in acceptance.accept(metrics.pattern_metrics(many.where(f"iter = {k}"))).where("accepted").collect()}
+            assert got[k] == (len(mine), len(mine & real), len(real))
+    assert experiments.digits_for(0) == experiments.digits_for(experiments.RANKED_AT_ONCE) == 0 and experiments.digits_for(experiments.RANKED_AT_ONCE * 17) == 2
 
 
 def test_histogram_and_jaccard(spark):

@@ -46,3 +46,17 @@ def profile(table: DataFrame, columns: list[str]) -> DataFrame:
     """(metric, n, least, largest, mean) of columns that may hold text; what is no number is left out."""
     long = table.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).try_cast("double").alias("x")) for c in columns))).alias("m")).select("m.*")
     return long.where("x is not null").groupBy("metric").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("largest"), F.avg("x").alias("mean"))
+
+
+def summary(table: DataFrame, metrics: list[str], key: str, rows: int = 3) -> DataFrame:
+    """One row about a table of a tagger: columns, num_columns, num_rows, passive_columns, stats and sample_rows.
+
+    stats has (metric, n, least, largest, mean) for each of ``metrics`` that is a column and has numbers; sample_rows the
+    first ``rows`` rows by ``key``, as JSON. Names come from the schema; the samples are a limit, not a sort of all rows.
+    """
+    names = lambda cs: F.array(*map(F.lit, cs)).cast("array<string>")
+    found = profile(table, [m for m in metrics if m in table.columns]).agg(F.array_sort(F.collect_list(F.struct("metric", "n", "least", "largest", "mean"))).alias("stats"))
+    first = table.orderBy(key).limit(rows).select(F.struct(F.col(key).alias("k"), F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"}).alias("row")).alias("r")).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]).alias("sample_rows"))
+    # three tables of one row each
+    counted = table.agg(F.count("*").alias("num_rows"))
+    return counted.select(names(table.columns).alias("columns"), F.lit(len(table.columns)).alias("num_columns"), "num_rows", names([c for c in table.columns if "PASSIVE" in c.upper()]).alias("passive_columns")).join(found).join(first)

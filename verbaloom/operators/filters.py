@@ -56,6 +56,12 @@ def marginals(rows: DataFrame, columns: tuple[str, ...] = ("tam", "comp", "subjt
     return sets.select(kind.alias("kind"), F.coalesce(*columns).alias("value"), "n")
 
 
+def first_examples(rows: DataFrame, by: str, order: Column) -> DataFrame:
+    """(by, n, and all other columns of the first row by ``order``) for each value of ``by``: one aggregate, nothing is sorted."""
+    first = F.min_by(F.struct(*(c for c in rows.columns if c != by)), order)
+    return rows.groupBy(by).agg(F.count("*").alias("n"), first.alias("_first")).select(by, "n", "_first.*")
+
+
 def layer1_reason(atp: float | Column = vocab.ATP, dpb: float | Column = vocab.DPB, hr: float | Column = vocab.HR) -> Column:
     """The first of atp, dpb and hr that fails; missing values count as 0, 0 and infinite."""
     return (

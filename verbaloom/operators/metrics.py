@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 NAMES = ["pattern", "n_tokens", "n_docs", "atp", "delta_p", "h_slot", "npmi", "dispersion", "g_squared", "p_value", "p_value_fdr"]
 
@@ -29,15 +30,29 @@ def p_value(g2: Column) -> Column:
     return F.when(g2 > 0, F.exp(-g2 / 2)).otherwise(F.lit(1.0))
 
 
-def exact_p_value(g2: Column) -> Column:
-    """Tail of chi-square with one degree of freedom, in Arrow batches as Spark has no error function."""
+def erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function of non-negative numbers: a series of positive terms below 2.5, Lentz's continued fraction from there."""
+    low = np.minimum(x, 2.5)
+    term = total = low.copy()
+    for n in range(1, 60):
+        term = term * 2 * low * low / (2 * n + 1)
+        total = total + term
+    high = np.maximum(x, 2.5)
+    tail = high.copy()
+    for n in range(80, 0, -1):
+        tail = high + n / 2 / tail
+    return np.where(x < 2.5, 1 - 2 / np.sqrt(np.pi) * np.exp(-low * low) * total, np.exp(-high * high) / np.sqrt(np.pi) / tail)
+
 
-    def tail(x):
-        from math import erfc, sqrt
+def exact_p_value(g2: Column) -> Column:
+    """Tail of chi-square with one degree of freedom, in whole Arrow batches as Spark has no error function; a null stays null."""
 
-        return x.map(lambda v: erfc(sqrt(v / 2)) if v > 0 else 1.0)
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        v = x.to_numpy(dtype=float, na_value=np.nan)
+        return pd.Series(np.where(np.isnan(v), np.nan, erfc(np.sqrt(np.maximum(v, 0) / 2)))).where(x.notna().to_numpy())
 
-    return F.pandas_udf(tail, DoubleType(), F.PandasUDFType.SCALAR)(g2)
+    return F.when(g2.isNotNull(), tail(g2))
 
 
 def g_squared_contingency(o11: Column, o12: Column, o21: Column, o22: Column) -> Column:
@@ -117,6 +132,18 @@ def association(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return known.withColumns({"npmi": value, "g_squared": g_squared(F.col("n_tokens"), F.col("_n"), F.col("_k"))}).withColumn("p_value", p_value(F.col("g_squared"))).drop("tam", "comp", "_n", "_k", "_t", "_c")
 
 
+def lane_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, pattern, n_tokens, h_slot, npmi, g_squared, p_value): what acceptance needs, and no more.
+
+    One aggregate by head lemma gives both a pattern's size n and its entropy, log2(n) less the mean of log2 of the
+    lemma counts; so rows are shuffled once, after they were counted in their task.
+    """
+    key = [*by, "pattern"]
+    counted = rows.groupBy(*by, F.coalesce("pattern", F.lit("")).alias("pattern"), F.coalesce("head_lemma", F.lit("unknown")).alias("head_lemma")).agg(F.count("*").alias("c"))
+    sums = counted.groupBy(*key).agg(F.sum("c").alias("n_tokens"), F.sum(F.col("c") * F.log2("c")).alias("_s"))
+    return association(sums.withColumn("h_slot", F.log2("n_tokens") - F.col("_s") / F.col("n_tokens")).drop("_s"), by)
+
+
 def pattern_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All metrics of all patterns (NAMES, after ``by``) of constructions (pattern; doc_id, head_lemma, instance_atp and instance_dpb if there are any).
 

@@ -33,6 +33,17 @@ def _first(tokens: Column, test) -> Column:
     return F.get(F.filter(tokens, test), F.lit(0))
 
 
+def span_root(span: Column, tokens: Column) -> Column:
+    """The root of a run of tokens: the sentence's root if it lies inside, else the token nearest to it of those whose head lies outside."""
+    inside = lambda t: F.exists(span, lambda x: x["i"] == t["head_i"])
+    steps = lambda t: F.aggregate(
+        F.sequence(F.lit(1), F.size(tokens)), F.struct(t["i"].alias("at"), F.lit(0).alias("n")),
+        lambda a, _: F.when(_first(tokens, lambda x: x["i"] == a["at"])["head_i"] == a["at"], a).otherwise(F.struct(_first(tokens, lambda x: x["i"] == a["at"])["head_i"].alias("at"), (a["n"] + 1).alias("n"))),
+    )["n"]
+    nearest = F.array_min(F.transform(F.filter(span, lambda t: ~inside(t)), lambda t: F.struct(steps(t).alias("n"), t["i"].alias("i"))))["i"]
+    return F.coalesce(_first(span, lambda t: t["head_i"] == t["i"]), _first(span, lambda t: t["i"] == nearest), F.get(span, F.lit(0)))
+
+
 def children(tokens: Column, of: Column) -> Column:
     return F.filter(tokens, lambda t: (t["head_i"] == of) & (t["i"] != of))
 
@@ -92,6 +103,8 @@ def constructions(tokens: DataFrame, parse: DataFrame) -> DataFrame:
     below, subj = F.col("below"), F.col("subj")
     # the span runs from the first to the last token below the subject
     span = F.filter(s, lambda t: (t["i"] >= F.get(below, F.lit(0))["i"]) & (t["i"] <= F.get(F.reverse(below), F.lit(0))["i"]))
+    found = found.withColumn("root", F.when(subj.isNotNull(), span_root(span, s)))
+    root = F.col("root")
     names = F.array_distinct(F.transform("preps", lambda t: F.lower(t["text"])))
     pps = F.transform(names, lambda n: F.struct(F.concat(F.lit("pp_"), n).alias("key"), phrase(s, F.get(F.reverse(F.filter("preps", lambda t: F.lower(t["text"]) == n)), F.lit(0))["i"]).alias("value")))
     found = found.withColumns({"pps": pps, "by_text": phrase(s, F.col("by.i")), "vp_text": phrase(s, F.col("vp.i")), "subject_text": F.array_join(texts(below), " ")})
@@ -104,7 +117,7 @@ def constructions(tokens: DataFrame, parse: DataFrame) -> DataFrame:
     found = found.withColumns({
         "tam": classify.tam(texts(F.col("aux")), lemmas, classify.has_modal(lemmas)),
         "comp": classify.complement(F.transform(entries, lambda e: e["key"]), prep_head),
-        "subjtype": classify.subject_of_root(subj.isNotNull(), subj["pos"], subj["dep"], subj["lemma"], subj["number"], determiners),
+        "subjtype": classify.subject_of_root(subj.isNotNull(), root["pos"], root["dep"], root["lemma"], root["number"], determiners),
         "surface": F.concat_ws(" ", "subject_text", texts(F.col("aux")), h["text"], tail),
         "head_lemma": h["lemma"],
         "aux_chain": F.concat(texts(F.col("aux")), F.array(h["text"])),

@@ -1,8 +1,8 @@
 """Validation experiments, each one plan over all of its replicates or settings.
 
 A replicate is a shuffle of one column among the rows. Rows are ranked by a hash of (seed, replicate, row id), so results
-are the same on any cluster. A global rank is a rank within a hash bucket plus the sizes of the buckets before it: tasks
-stay even, and no replicate is sorted in one place.
+are the same on any cluster. Where a replicate is too large for one task to rank, a global rank is a rank within a hash
+bucket plus the sizes of the buckets before it: tasks stay even.
 """
 
 from __future__ import annotations
@@ -16,33 +16,49 @@ from ..functions import vocab
 from ..functions.classify import pattern
 from ..operators import acceptance, compare, filters, metrics
 
-#: Hexadecimal digits of the hash that make a bucket; one more for each 16 times as many rows.
-DIGITS = 2
+#: Rows that one task may rank; more are dealt into hash buckets.
+RANKED_AT_ONCE = 200_000
+
+
+def digits_for(n: int) -> int:
+    """Hexadecimal digits of the hash that make a bucket, so that buckets of n rows have RANKED_AT_ONCE rows at most on average."""
+    digits = 0
+    while n > RANKED_AT_ONCE * 16**digits:
+        digits += 1
+    return digits
 
 
 def hashed(seed: int | str, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols)))
 
 
-def ranked(rows: DataFrame, by: Sequence[str], order: Column, tie: str, digits: int = DIGITS) -> DataFrame:
-    """Adds rn, the place (from 1) of each row among those equal in ``by``, by the hash ``order``."""
-    rows = rows.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, digits))
+def ranked(rows: DataFrame, by: Sequence[str], order: Column, tie: str, digits: int = 0) -> DataFrame:
+    """Adds rn, the place (from 1) of each row among those equal in ``by``, by the hash ``order``.
+
+    With ``digits``, a place is the place in a hash bucket plus the sizes of the buckets before it.
+    """
+    rows = rows.withColumn("_h", order)
+    if not digits:
+        return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("_h", tie)).cast("long")).drop("_h")
+    rows = rows.withColumn("_b", F.substring("_h", 1, digits))
     sizes = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", tie))
     return rows.withColumn("_r", place).join(before, [*by, "_b"]).withColumn("rn", F.col("_before") + F.col("_r")).drop("_h", "_b", "_r", "_before")
 
 
-def shuffled(rows: DataFrame, column: str, iterations: int, seed: int | str = 42, within: Sequence[str] = (), row_id: str = "row_id") -> DataFrame:
+def shuffled(rows: DataFrame, column: str, iterations: int, seed: int | str = 42, within: Sequence[str] = (), row_id: str = "row_id", digits: int | None = None) -> DataFrame:
     """``iterations`` copies of the rows (iter from 0), with ``column`` dealt anew among rows that are equal in ``within``.
 
-    Rows need a unique ``row_id``. Row ranked k by hash(seed, row id) gets the value of the row ranked k by hash(seed, iter, row id).
+    Rows need a unique ``row_id``. The row ranked k by hash(seed, iter, row id) gets the value of the row ranked k by
+    hash(seed, row id). Only one side is as large as all copies; the values are ranked once.
     """
+    digits = digits_for(rows.count()) if digits is None else digits
     many = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter")
     kept = [c for c in rows.columns if c != column]
-    fixed = ranked(rows.select(*kept), within, hashed(seed, row_id), row_id).select("*", many)
-    dealt = ranked(rows.select(row_id, column, *(c for c in within if c != row_id), many), ["iter", *within], hashed(seed, "iter", row_id), row_id)
-    return fixed.join(dealt.select("iter", *within, "rn", column), ["iter", *within, "rn"]).drop("rn")
+    values = ranked(rows.select(row_id, column, *(c for c in within if c != row_id)), within, hashed(seed, row_id), row_id, digits).select(*within, "rn", column)
+    dealt = ranked(rows.select(*kept, many), ["iter", *within], hashed(seed, "iter", row_id), row_id, digits)
+    return dealt.join(values, [*within, "rn"]).drop("rn")
 
 
 def tam_shuffle(rows: DataFrame, iterations: int = 1000, seed: int | str = 42) -> DataFrame:
@@ -58,28 +74,24 @@ def verb_shuffle(rows: DataFrame, iterations: int = 1000, seed: int | str = 42)
 
 
 def replicate_results(rows: DataFrame, copies: DataFrame, iterations: int, mode: str = "production") -> DataFrame:
-    """(iter, n_accepted, n_shared, jaccard): each replicate's accepted patterns against those of the rows."""
-    spark = rows.sparkSession
-    real = acceptance.accept(metrics.pattern_metrics(rows), mode).where("accepted").select("pattern")
+    """(iter, n_accepted, n_shared, n_real, jaccard): each replicate's accepted patterns against those of the rows.
+
+    Only the metrics that acceptance looks at are worked out.
+    """
+    real = acceptance.accept(metrics.lane_metrics(rows), mode).where("accepted").select("pattern")
     n_real = real.agg(F.count("*")).scalar()
-    accepted = acceptance.accept(metrics.pattern_metrics(copies, ["iter"]), mode).where("accepted").select("iter", "pattern")
+    accepted = acceptance.accept(metrics.lane_metrics(copies, ["iter"]), mode).where("accepted").select("iter", "pattern")
     known = accepted.join(real.withColumn("_real", F.lit(1)), "pattern", "left").groupBy("iter").agg(F.count("*").alias("n_accepted"), F.count("_real").alias("n_shared"))
-    all_ = spark.range(iterations).select(F.col("id").cast("int").alias("iter"))
+    all_ = rows.sparkSession.range(iterations).select(F.col("id").cast("int").alias("iter"))
     out = all_.join(known, "iter", "left").select("iter", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_accepted", "n_shared"))).withColumn("n_real", n_real)
     return out.withColumn("jaccard", compare.jaccard(F.col("n_shared"), F.col("n_real"), F.col("n_accepted")))
 
 
-def verb_shuffle_results(rows: DataFrame, iterations: int, seed: int | str = 42, mode: str = "production") -> DataFrame:
-    """replicate_results of verb_shuffle; only slot entropy is worked out anew, as no other metric can change."""
-    fixed = metrics.pattern_metrics(rows)
-    real = acceptance.accept(fixed, mode).where("accepted").select("pattern", F.lit(1).alias("_real"))
-    n_real = real.agg(F.count("*")).scalar()
-    entropies = metrics.slot_entropy(verb_shuffle(rows, iterations, seed), ["iter"])
-    accepted = acceptance.accept(entropies.join(fixed.drop("h_slot"), "pattern"), mode).where("accepted").select("iter", "pattern")
-    known = accepted.join(real, "pattern", "left").groupBy("iter").agg(F.count("*").alias("n_accepted"), F.count("_real").alias("n_shared"))
-    all_ = rows.sparkSession.range(iterations).select(F.col("id").cast("int").alias("iter"))
-    out = all_.join(known, "iter", "left").select("iter", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_accepted", "n_shared"))).withColumn("n_real", n_real)
-    return out.withColumn("jaccard", compare.jaccard(F.col("n_shared"), F.col("n_real"), F.col("n_accepted")))
+def shuffle_results(rows: DataFrame, column: str, iterations: int = 1000, seed: int | str = 42, mode: str = "production") -> DataFrame:
+    """replicate_results of a shuffle of tam, comp or head_lemma (the last within tam), from the columns that it needs."""
+    slim = rows.select("row_id", "tam", "comp", "pattern", "head_lemma")
+    copies = {"tam": tam_shuffle, "comp": comp_shuffle, "head_lemma": verb_shuffle}[column](slim, iterations, seed)
+    return replicate_results(slim, copies, iterations, mode)
 
 
 def replicate_summary(results: DataFrame) -> DataFrame:
@@ -230,3 +242,13 @@ def example_semantics(found: DataFrame, top: int = 5) -> DataFrame:
     out = verbs.groupBy("pattern").agg(F.sum("n").alias("n_examples"), F.count("*").alias("unique_verbs"), ordered.alias("v"), F.sum("atp").alias("a"), F.sum("dpb").alias("d"))
     named = F.array_join(F.transform(F.slice("v", 1, top), lambda x: F.concat(x["verb"], F.lit("("), -x["k"], F.lit(")"))), ", ")
     return out.select("pattern", "n_examples", "unique_verbs", named.alias("top_verbs"), (F.col("a") / F.col("n_examples")).alias("avg_atp"), (F.col("d") / F.col("n_examples")).alias("avg_dpb"))
+
+
+def cascade(raw: DataFrame, valid: DataFrame, formulaic: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(stage, n, percent): what is left after each filter; percentages of the stage before, rounded half to even to two decimals."""
+    n = lambda df, name: df.agg(F.count("*").cast("double").alias(name))
+    # one row each
+    all_ = n(raw, "a").join(n(valid, "b")).join(n(formulaic, "c")).join(patterns.agg(F.count("*").cast("double").alias("d"), F.count_if("accepted").cast("double").alias("e")))
+    share = lambda x, y: F.coalesce(F.bround(F.try_divide(F.col(x) * 100.0, F.col(y)), 2), F.lit(0.0))
+    rows = [("total", "a", F.lit(100.0)), ("valid", "b", share("b", "a")), ("formulaic", "c", share("c", "b")), ("patterns", "d", F.lit(None).cast("double")), ("accepted", "e", share("e", "d"))]
+    return all_.select(F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(c).cast("long").alias("n"), p.alias("percent")) for s, c, p in rows))).alias("r")).select("r.*")

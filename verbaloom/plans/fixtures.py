@@ -50,6 +50,19 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         "doc_id string, value string",
         [("A1", "# sent_id = 1\n1\tIt\tit\t\n2\tis\tbe\tATTR\n3\ttime\ttime\n\n4\tnow\tnow\n# sent_id = 2\n# a remark\n1\tseen\tsee\tPASSIVE\n2\tshort\n"), ("A2", "1\tx\ty\tPASSIVE"), ("A3", "# sent_id = 1\none\tx\ty\n2\ta\tb\tATTR\n"), ("A4", ""), ("A5", "# sent_id = 1\n# sent_id = 2\r\n1\tp\tq\tTRAN-S\textra\r\n\r\n2\tr\ts\tPASSIVE\r\n")],
     ),
+    "surface_texts": (
+        "doc_id bigint, text string, lang string",
+        [(1, "The plan has been analyzed carefully. It will be seen by us! They were being kept in Rome", "en"), (2, "he got hit by it? should have been being told to the men", "en"), (3, "is", "en"), (4, None, "en"), (5, "", "en"), (6, "El plan is made", "es"),
+         (7, "A cat was . seen. may be be is was taken of of the and stone", "en"), (8, "been given, am I been made", None), (9, "Has Been Made With care; WERE getting a lift", "en")],
+    ),
+    "instance_cases": (
+        "doc_id string, surface string, tam string, comp string, subjtype string, head_lemma string, pattern string, subject_text string, instance_atp double, instance_dpb double, instance_hr double",
+        [("d1", "a, \"b\"", "pres-be", "Ø", "PRON", "see", "pres-be,Ø", "", 0.5, 0.25, 1.5), ("d2", " x", "past-be", "by_NP", "PRON", "see", "past-be,by_NP", None, None, 0.125, None), ("d3", "y", "past-be", "by_NP", "PRON", "see", "past-be,by_NP", "z", 0.75, None, float("inf"))],
+    ),
+    "tagger_summary": (
+        "filename string, nwords int, PASSIVE_freq int, clauseCount string, clauseCountNoBe string, passive_Rate double, PASSIVE_Prop string",
+        [("b.txt", 10, 2, "4", "", 0.5, "0.25"), ("a.txt", 20, 1, "6", None, None, "0.75"), ("d.txt", 5, 0, "x", "", 0.0, ""), ("c.txt", None, 3, "8", "", 1.0, "0.5")],
+    ),
     "set_cases": ("id int, a string, b string", [(1, "x,y,z", "y,z,w"), (2, "", ""), (3, "x", ""), (4, "x,x", "x"), (5, "p,q", "r")]),
 }
 
@@ -67,6 +80,8 @@ def cte(name: str) -> str:
     def literal(x: object) -> str:
         if x is None:
             return "NULL"
+        if isinstance(x, float) and x == float("inf"):
+            return "'inf'::DOUBLE"
         if isinstance(x, str):
             return "'" + x.replace("'", "''") + "'"
         return str(x)
@@ -76,7 +91,7 @@ def cte(name: str) -> str:
     return f"{name} AS (SELECT {cast} FROM (VALUES {body}) AS v({', '.join(c for c, _ in cols)}))"
 
 
-# A parse of five sentences: (sent_idx, [(text, lemma, tag, pos, dep, head, number)]), heads by place.
+# Parses of five sentences: (sent_idx, [(text, lemma, tag, pos, dep, head, number)]), heads by place.
 TREES = [
     (1, [("The", "the", "DT", "DET", "det", 1, None), ("book", "book", "NN", "NOUN", "nsubjpass", 3, "Sing"), ("was", "be", "VBD", "AUX", "auxpass", 3, None), ("written", "write", "VBN", "VERB", "ROOT", 3, None), ("by", "by", "IN", "ADP", "agent", 3, None), ("students", "student", "NNS", "NOUN", "pobj", 4, "Plur")]),
     (2, [("It", "it", "PRP", "PRON", "nsubjpass", 3, "Sing"), ("has", "have", "VBZ", "AUX", "aux", 3, None), ("been", "be", "VBN", "AUX", "auxpass", 3, None), ("analyzed", "analyze", "VBN", "VERB", "ROOT", 3, None)]),
@@ -86,10 +101,68 @@ TREES = [
 ]
 
 
-def trees(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(TOKENS, PARSE) of the five sentences; participles are tagged."""
-    from ..functions.schemas import PARSE, TOKENS
 
-    tokens = [("T1", s, i + 1, t[0], t[1], "PASSIVE" if t[2] == "VBN" and t[3] == "VERB" else None) for s, ts in TREES for i, t in enumerate(ts)]
-    parse = [("T1", s, i, t[0], t[1], t[2], t[3], t[4], t[5], t[6]) for s, ts in TREES for i, t in enumerate(ts)]
-    return spark.createDataFrame(tokens, TOKENS), spark.createDataFrame(parse, PARSE)
+#: Parts of more sentences, each token as text/lemma/tag/pos/dep/head/number: head is a place in the part, V the verb, A the last auxiliary.
+SUBJECTS = [
+    "", "It/it/PRP/PRON/nsubjpass/V/Sing", "The/the/DT/DET/det/1/ books/book/NNS/NOUN/nsubjpass/V/Plur", "a/a/DT/DET/det/1/ plan/plan/NN/NOUN/nsubjpass/V/Sing", "Oslo/Oslo/NNP/PROPN/nsubjpass/V/Sing",
+    "There/there/EX/PRON/expl/V/", "which/which/WDT/PRON/nsubj/A/", "What/what/WP/PRON/dobj/1/ happened/happen/VBD/VERB/csubjpass/V/", "Some/some/DT/DET/det/1/ work/work/NN/NOUN/nsubj/V/Sing to/to/TO/PART/aux/3/ do/do/VB/VERB/relcl/1/",
+    "time/time/NN/NOUN/nsubjpass/A/Sing", "Who/who/WP/PRON/nsubjpass/V/",
+]
+AUXILIARIES = [
+    "is/be/VBZ/AUX/auxpass/V/", "were/be/VBD/AUX/auxpass/V/", "has/have/VBZ/AUX/aux/V/ been/be/VBN/AUX/auxpass/V/", "will/will/MD/AUX/aux/V/ be/be/VB/AUX/auxpass/V/", "are/be/VBP/AUX/aux/V/ being/be/VBG/AUX/auxpass/V/",
+    "got/get/VBD/AUX/auxpass/V/", "", "May/may/MD/AUX/aux/V/ have/have/VB/AUX/aux/V/ been/be/VBN/AUX/auxpass/V/", "being/be/VBG/AUX/auxpass/V/",
+]
+VERBS = ["seen/see/VBN/VERB/ROOT/V/", "Made/make/VBD/VERB/ROOT/V/", "give/give/VB/VERB/ROOT/V/", "kept/Keep/VBN/VERB/ROOT/V/"]
+ENDINGS = [
+    "", "by/by/IN/ADP/agent/V/ us/we/PRP/PRON/pobj/0/Plur", "in/in/IN/ADP/prep/V/ May/May/NNP/PROPN/pobj/0/Sing in/in/IN/ADP/prep/V/ Rome/Rome/NNP/PROPN/pobj/2/Sing", "to/to/TO/PART/aux/1/ work/work/VB/VERB/xcomp/V/ hard/hard/RB/ADV/advmod/1/",
+    "On/on/IN/ADP/prep/V/ it/it/PRP/PRON/pobj/0/Sing by/by/IN/ADP/agent/V/ me/I/PRP/PRON/pobj/2/Sing", "to/to/TO/PART/aux/1/ go/go/VB/VERB/xcomp/V/ at/at/IN/ADP/prep/V/ once/once/RB/ADV/pcomp/2/", "By/by/RB/ADV/prep/V/ far/far/RB/ADV/advmod/0/",
+    "out/out/RP/ADP/prep/V/ of/of/IN/ADP/prep/0/ the/the/DT/DET/det/3/ way/way/NN/NOUN/pobj/1/Sing by/by/IN/ADP/agent/V/ him/he/PRP/PRON/pobj/4/Sing by/by/IN/ADP/prep/V/ then/then/RB/ADV/pcomp/6/",
+    "quite/quite/RB/ADV/advmod/1/ often/often/RB/ADV/advmod/V/", "to/to/TO/PART/aux/1/ stop/stop/VB/VERB/xcomp/V/ and/and/CC/CCONJ/cc/1/ to/to/TO/PART/aux/4/ rest/rest/VB/VERB/xcomp/V/",
+]
+#: What no rule makes: a subject whose parts lie on both sides of the verb, two tags of one lemma, a tag with no head.
+ODD = [
+    "A/a/DT/DET/det/1/ man/man/NN/NOUN/nsubjpass/3/Sing was/be/VBD/AUX/auxpass/3/ seen/see/VBN/VERB/ROOT/3/ who/who/WP/PRON/nsubj/5/ sang/sing/VBD/VERB/relcl/1/",
+    "Men/man/NNS/NOUN/nsubjpass/2/Plur are/be/VBP/AUX/auxpass/2/ seen/see/VBN/VERB/advcl/6/ who/who/WP/PRON/nsubj/4/ sing/sing/VBP/VERB/relcl/0/ ,/,/,/PUNCT/punct/6/ see/see/VB/VERB/ROOT/6/",
+    "Seen/see/VBN/VERB/advcl/3/ ,/,/,/PUNCT/punct/3/ he/he/PRP/PRON/nsubj/3/Sing saw/see/VBD/VERB/ROOT/3/ it/it/PRP/PRON/dobj/3/Sing is/be/VBZ/AUX/auxpass/6/ seen/see/VBN/VERB/conj/3/",
+    "Nothing/nothing/NN/NOUN/nsubj/1/Sing ends/end/VBZ/VERB/ROOT/1/",
+]
+MADE = 44
+
+
+def _parsed(parts: list[str]) -> list[list]:
+    """The tokens of a sentence from its parts (the verb is the third): text, lemma, tag, pos, dep, head, number."""
+    given = [[t.split("/") for t in p.split()] for p in parts]
+    starts = [sum(map(len, given[:k])) for k in range(len(given))]
+    verb, last = starts[2], starts[2] - 1 if given[1] else starts[2]
+    place = lambda h, k: {"V": verb, "A": last}.get(h) if not h.isdigit() else starts[k] + int(h)
+    return [[*t[:5], place(t[5], k), t[6] or None] for k, p in enumerate(given) for t in p]
+
+
+def _more_trees() -> list[tuple[int, list[list]]]:
+    """Sentences by rule (every subject, chain, verb and ending in turn), and the odd ones."""
+    made = [_parsed([SUBJECTS[k % len(SUBJECTS)], AUXILIARIES[(k * 2 + k // 11) % len(AUXILIARIES)], VERBS[k % len(VERBS)], ENDINGS[(k * 3 + k // 10) % len(ENDINGS)]]) for k in range(MADE)]
+    odd = [[[*t[:5], int(t[5]), t[6] or None] for t in (x.split("/") for x in s.replace(",/,/,/", "comma/,/,/").split())] for s in ODD]
+    return list(enumerate(made + odd, 1))
+
+
+def _tree_tables() -> dict[str, tuple[str, list[tuple]]]:
+    tokens, parse = [], []
+    for doc, trees_ in (("T1", TREES), ("T2", _more_trees())):
+        for s, ts in trees_:
+            verbs = [i for i, t in enumerate(ts) if t[3] == "VERB" and (t[2] in ("VBN", "VBD") or t[4] == "ROOT")]
+            tokens += [(doc, s, i + 1, t[0], t[1].upper() if s % 7 == 3 else t[1], "PASSIVE" if i in verbs else "ATTR" if i == 0 else None) for i, t in enumerate(ts)]
+            parse += [(doc, s, i, *t) for i, t in enumerate(ts)]
+    # tags that meet nothing: a lemma without a head, a sentence without a parse
+    tokens += [("T2", 1, 99, "zapped", "zap", "PASSIVE"), ("T2", 999, 1, "seen", "see", "PASSIVE")]
+    return {
+        "tree_tokens": ("doc_id string, sent_idx int, token_num int, token string, lemma string, asc_tag string", tokens),
+        "tree_parse": ("doc_id string, sent_idx int, i int, text string, lemma string, tag string, pos string, dep string, head_i int, number string", parse),
+    }
+
+
+TABLES |= _tree_tables()
+
+
+def trees(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(TOKENS, PARSE) of all sentences; participles, past forms and root verbs are tagged."""
+    return table(spark, "tree_tokens"), table(spark, "tree_parse")

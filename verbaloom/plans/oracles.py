@@ -34,28 +34,44 @@ def subject_type(x: str) -> str:
         WHEN starts_with({t}, 'a ') OR starts_with({t}, 'an ') THEN 'INDEF_NP' ELSE 'DEF_NP' END"""
 
 
-RAW = f"""words AS (SELECT doc_id::VARCHAR AS doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'),
-hits AS (SELECT doc_id, w, unnest(range(1, len(w)))::INTEGER AS i FROM words),
-found AS (SELECT doc_id, (i - 1)::BIGINT AS pos, CASE WHEN i > 1 THEN w[i - 1] END AS subject_text, w[i] AS aux, w[i + 1] AS head_lemma, w[i + 2] AS following_word
-    FROM hits WHERE w[i] IN {AUX} AND w[i + 1] NOT IN {AUX}),
-typed AS (SELECT *, doc_id || ':' || pos AS row_id, aux || ' ' || head_lemma AS chain,
-    CASE WHEN following_word = 'by' THEN 'by_NP' WHEN following_word IN {PREPS} THEN 'pp_' || following_word || '_NP' ELSE 'Ø' END AS comp,
-    CASE WHEN aux IN ('is', 'are') THEN 'pres-be' WHEN aux = 'was' THEN 'past-be' ELSE 'unknown' END AS tam,
-    {subject_type("subject_text")} AS subjtype FROM found),
-raw AS (SELECT *, tam || ',' || comp AS pattern, concat_ws(' ', subject_text, aux, head_lemma, CASE WHEN comp <> 'Ø' THEN following_word END) AS surface FROM typed),
+def tam(s: str, m: str, modal: str) -> str:
+    return f"""CASE WHEN len({s}) = 0 THEN 'unknown' WHEN {modal} AND list_contains({m}, 'be') THEN 'modal-be' WHEN {s} = ['was'] OR {s} = ['were'] THEN 'past-be' WHEN {s} = ['is'] OR {s} = ['are'] OR {s} = ['am'] THEN 'pres-be'
+        WHEN (list_contains({m}, 'have') OR list_contains({s}, 'has') OR list_contains({s}, 'have')) AND (list_contains({s}, 'been') OR list_contains({m}, 'be')) THEN 'perf-be' WHEN list_contains({s}, 'being') AND list_contains({m}, 'be') THEN 'prog-be'
+        WHEN list_contains({m}, 'get') THEN 'get-be' ELSE 'unknown' END"""
+
+
+MODALS = "[" + ", ".join(f"'{w}'" for w in vocab.MODALS) + "]"
+SENTENCES = "regexp_split_to_array(lower(text), '[.!?]')"
+
+RAW = f"""sents AS (SELECT doc_id::VARCHAR AS doc_id, unnest({SENTENCES}) AS s, generate_subscripts({SENTENCES}, 1) - 1 AS sent_idx FROM documents WHERE lang = 'en'),
+words AS (SELECT doc_id, sent_idx, regexp_extract_all(s, '[a-z]+') AS w FROM sents),
+hits AS (SELECT doc_id, sent_idx, w, unnest(range(1, len(w)))::INTEGER AS i FROM words),
+back AS (SELECT *, CASE WHEN i = 1 OR w[i - 1] NOT IN {AUX} THEN 0 WHEN i = 2 OR w[i - 2] NOT IN {AUX} THEN 1 WHEN i = 3 OR w[i - 3] NOT IN {AUX} THEN 2 ELSE 3 END AS b
+    FROM hits WHERE w[i] IN {strings(surface.LAST)} AND w[i + 1] NOT IN {AUX}),
+found AS (SELECT doc_id, sent_idx, (i - 1)::BIGINT AS pos, CASE WHEN i - b > 1 THEN w[i - b - 1] END AS subject_text, w[i - b : i] AS aux, w[i + 1] AS head_lemma, w[i + 2] AS next_word,
+    list_filter(w[i + 2 :], lambda x: x NOT IN {strings(surface.FUNCTION_WORDS)})[1] AS following_word FROM back),
+lemmas AS (SELECT *, list_transform(aux, lambda x: CASE WHEN x IN {strings(surface.BE)} THEN 'be' WHEN x IN {strings(surface.GET)} THEN 'get' WHEN x IN {strings(surface.HAVE)} THEN 'have' ELSE x END) AS m FROM found),
+typed AS (SELECT *, doc_id || ':' || sent_idx || ':' || pos AS row_id, array_to_string(aux, ' ') || ' ' || head_lemma AS chain,
+    CASE WHEN next_word = 'by' THEN 'by_NP' WHEN next_word IN {PREPS} THEN 'pp_' || next_word || '_NP' ELSE 'Ø' END AS comp,
+    {tam("aux", "m", f"list_has_any(m, {MODALS})")} AS tam,
+    {subject_type("subject_text")} AS subjtype FROM lemmas),
+raw AS (SELECT *, tam || ',' || comp AS pattern, concat_ws(' ', subject_text, array_to_string(aux, ' '), head_lemma, CASE WHEN comp <> 'Ø' THEN next_word END) AS surface FROM typed),
 judged AS (SELECT *, {REASON} AS reason FROM raw),
 valid AS (SELECT * FROM judged WHERE reason IS NULL)"""
 
-COUNTS = """uni AS (SELECT word, count(*) AS n FROM (SELECT aux AS word FROM valid UNION ALL SELECT head_lemma FROM valid) GROUP BY 1),
-bi AS (SELECT aux AS w1, head_lemma AS w2, count(*) AS n FROM valid GROUP BY 1, 2),
+COUNTS = """ch AS (SELECT chain, count(*) AS n FROM valid GROUP BY 1),
+cw AS (SELECT chain, n, unnest(string_split(chain, ' ')) AS word, generate_subscripts(string_split(chain, ' '), 1) AS k FROM ch),
+uni AS (SELECT word, sum(n)::BIGINT AS n FROM cw GROUP BY 1),
+pr AS (SELECT a.chain, a.n, a.k, a.word AS w1, b.word AS w2 FROM cw a JOIN cw b ON b.chain = a.chain AND b.k = a.k + 1),
+bi AS (SELECT w1, w2, sum(n)::BIGINT AS n FROM pr GROUP BY 1, 2),
 fol AS (SELECT pattern, following_word AS word, count(*) AS n FROM valid WHERE following_word IS NOT NULL GROUP BY 1, 2),
 hr AS (SELECT pattern, sum(-q * log2(q)) AS instance_hr FROM (SELECT pattern, n / sum(n) OVER (PARTITION BY pattern) AS q FROM fol) GROUP BY 1)"""
 
 SCORED = f"""{RAW},
 {COUNTS},
-scored AS (SELECT v.*, ((b.n / a.n - h.n / t.t) + (b.n / h.n - a.n / t.t)) / 2 AS instance_atp, b.n / h.n - a.n / t.t AS instance_dpb, hr.instance_hr
-    FROM valid v JOIN bi b ON v.aux = b.w1 AND v.head_lemma = b.w2 JOIN uni a ON v.aux = a.word JOIN uni h ON v.head_lemma = h.word
-    LEFT JOIN hr ON hr.pattern = v.pattern, (SELECT sum(n)::DOUBLE AS t FROM uni) t),
+cm AS (SELECT pr.chain, avg(((b.n / a.n - h.n / t.t) + (b.n / h.n - a.n / t.t)) / 2) AS instance_atp, arg_max(b.n / h.n - a.n / t.t, pr.k) AS instance_dpb
+    FROM pr JOIN bi b USING (w1, w2) JOIN uni a ON a.word = pr.w1 JOIN uni h ON h.word = pr.w2, (SELECT sum(n)::DOUBLE AS t FROM uni) t GROUP BY 1),
+scored AS (SELECT v.*, cm.instance_atp, cm.instance_dpb, hr.instance_hr FROM valid v JOIN cm ON cm.chain = v.chain LEFT JOIN hr ON hr.pattern = v.pattern),
 kept AS (SELECT * FROM scored WHERE instance_atp >= {vocab.ATP} AND instance_dpb >= {vocab.DPB} AND instance_hr <= {vocab.HR})"""
 
 
@@ -94,9 +110,9 @@ def shuffle(column: str, within: str = "") -> str:
     own, part, using = (f"PARTITION BY {within}", f", {within}", f", {within}") if within else ("", "", "")
     rest = ", ".join(c for c in ("row_id", "doc_id", "tam", "comp", "head_lemma", "instance_atp", "instance_dpb") if c != column)
     return f"""iters AS (SELECT unnest(range(0, {ITERATIONS}))::INTEGER AS iter),
-fixed AS (SELECT {rest}, row_number() OVER ({own} ORDER BY md5('42:' || row_id), row_id) AS rn FROM kept),
-dealt AS (SELECT iter, {within + ", " if within else ""}{column}, row_number() OVER (PARTITION BY iter{part} ORDER BY md5('42:' || iter || ':' || row_id), row_id) AS rn FROM kept, iters),
-copies AS (SELECT iter, tam || ',' || comp AS pattern, doc_id, head_lemma, instance_atp, instance_dpb FROM fixed JOIN dealt USING (rn{using}))"""
+vals AS (SELECT {within + ", " if within else ""}{column}, row_number() OVER ({own} ORDER BY md5('42:' || row_id), row_id) AS rn FROM kept),
+dealt AS (SELECT iter, {rest}, row_number() OVER (PARTITION BY iter{part} ORDER BY md5('42:' || iter || ':' || row_id), row_id) AS rn FROM kept, iters),
+copies AS (SELECT iter, tam || ',' || comp AS pattern, doc_id, head_lemma, instance_atp, instance_dpb FROM dealt JOIN vals USING (rn{using}))"""
 
 
 RESULTS = """real AS (SELECT pattern FROM acc WHERE accepted),
@@ -220,6 +236,36 @@ grp AS (SELECT *, sum(({ends})::INTEGER) OVER (PARTITION BY doc_id ORDER BY n) A
 tokens AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY g)::INTEGER AS sent_idx, f FROM grp WHERE tok)"""
 
 
+#: ``built``: a row a PASSIVE tag of tree_tokens that has a head in tree_parse. Subtrees are a recursive walk, not a rule over arrays.
+TREES = f"""RECURSIVE {cte('tree_tokens')},
+{cte('tree_parse')},
+p AS (SELECT * FROM tree_parse),
+walk AS (SELECT doc_id, sent_idx, i AS root, i FROM p UNION SELECT w.doc_id, w.sent_idx, w.root, c.i FROM walk w JOIN p c ON c.doc_id = w.doc_id AND c.sent_idx = w.sent_idx AND c.head_i = w.i AND c.i <> w.i),
+up AS (SELECT doc_id, sent_idx, i, head_i AS at, (head_i <> i)::INTEGER AS n FROM p UNION SELECT u.doc_id, u.sent_idx, u.i, q.head_i, u.n + 1 FROM up u JOIN p q ON q.doc_id = u.doc_id AND q.sent_idx = u.sent_idx AND q.i = u.at WHERE q.head_i <> q.i),
+depth AS (SELECT doc_id, sent_idx, i, max(n) AS n FROM up GROUP BY ALL),
+below AS (SELECT doc_id, sent_idx, w.root, string_agg(q.text, ' ' ORDER BY q.i) AS phrase, min(q.i) AS lo, max(q.i) AS hi FROM walk w JOIN p q USING (doc_id, sent_idx, i) GROUP BY ALL),
+tags AS (SELECT doc_id, sent_idx, token_num, lower(lemma) AS lemma FROM tree_tokens WHERE asc_tag = 'PASSIVE'),
+head AS (SELECT doc_id, sent_idx, token_num, q.i, q.text, q.lemma FROM tags t JOIN p q USING (doc_id, sent_idx) WHERE lower(q.lemma) = t.lemma AND (q.tag IN ('VBN', 'VBD') OR q.pos = 'VERB')
+    QUALIFY row_number() OVER (PARTITION BY doc_id, sent_idx, token_num ORDER BY q.tag NOT IN ('VBN', 'VBD'), q.i) = 1),
+kid AS (SELECT doc_id, sent_idx, h.token_num, c.i, c.text, lower(c.text) AS low, c.lemma, c.pos, c.dep FROM head h JOIN p c USING (doc_id, sent_idx) WHERE c.head_i = h.i AND c.i <> h.i),
+aux AS (SELECT doc_id, sent_idx, token_num, list(text ORDER BY i) AS words, list(lower(text) ORDER BY i) AS s, list(lower(lemma) ORDER BY i) AS m FROM kid WHERE dep IN ('aux', 'auxpass') GROUP BY ALL),
+subject AS (SELECT doc_id, sent_idx, token_num, arg_min(i, ord) AS i FROM (SELECT doc_id, sent_idx, token_num, i, i AS ord FROM kid WHERE dep IN ('nsubjpass', 'csubj', 'csubjpass', 'nsubj')
+    UNION ALL SELECT doc_id, sent_idx, a.token_num, c.i, 10000 + a.i * 100 + c.i FROM kid a JOIN p c USING (doc_id, sent_idx) WHERE a.dep IN ('aux', 'auxpass') AND c.head_i = a.i AND c.i <> a.i AND c.dep IN ('nsubjpass', 'nsubj')) GROUP BY ALL),
+span AS (SELECT s.doc_id, s.sent_idx, s.token_num, b.phrase, b.lo, b.hi FROM subject s JOIN below b ON b.doc_id = s.doc_id AND b.sent_idx = s.sent_idx AND b.root = s.i),
+crown AS (SELECT doc_id, sent_idx, s.token_num, arg_min(q, CASE WHEN q.head_i = q.i THEN -1 WHEN q.head_i BETWEEN lo AND hi THEN 1000000 + q.i ELSE d.n * 1000 + q.i END) AS r, bool_or(q.dep = 'det' AND lower(q.lemma) IN {strings(vocab.DEFINITE)}) AS definite, bool_or(q.dep = 'det' AND lower(q.lemma) IN {strings(vocab.INDEFINITE)}) AS indefinite
+    FROM span s JOIN p q USING (doc_id, sent_idx) JOIN depth d USING (doc_id, sent_idx, i) WHERE q.i BETWEEN lo AND hi GROUP BY ALL),
+part AS (SELECT k.*, b.phrase, CASE WHEN low = 'by' AND pos = 'ADP' THEN 'by' WHEN dep = 'prep' AND pos = 'ADP' THEN 'pp' WHEN dep = 'xcomp' THEN 'vp' END AS kind FROM kid k JOIN below b ON b.doc_id = k.doc_id AND b.sent_idx = k.sent_idx AND b.root = k.i),
+pps AS (SELECT doc_id, sent_idx, token_num, low, min(i) AS place, arg_max(phrase, i) AS phrase FROM part WHERE kind = 'pp' GROUP BY ALL),
+ends AS (SELECT doc_id, sent_idx, token_num, arg_max(phrase, i) FILTER (kind = 'by') AS by_text, arg_max(phrase, i) FILTER (kind = 'vp') AS vp_text FROM part GROUP BY ALL),
+pp AS (SELECT doc_id, sent_idx, token_num, arg_min(low, place) AS prep, arg_min(phrase, place) AS pp_text, string_agg('pp_' || low || '=' || phrase, '; ' ORDER BY low) AS pp_all FROM pps GROUP BY ALL),
+follow AS (SELECT doc_id, sent_idx, h.token_num, arg_min(q.text, q.i) AS following_word FROM head h JOIN p q USING (doc_id, sent_idx) WHERE q.i > h.i AND q.pos IN ('NOUN', 'VERB', 'ADJ', 'ADV', 'PROPN') GROUP BY ALL),
+gathered AS (SELECT doc_id, sent_idx, token_num, h.text, h.lemma AS head_lemma, coalesce(a.words, []) AS words, coalesce(a.s, []) AS s, coalesce(a.m, []) AS m, sp.phrase AS subject_text, e.by_text, e.vp_text, pp.prep, pp.pp_text, pp.pp_all, f.following_word, c.r, c.definite, c.indefinite
+    FROM head h LEFT JOIN aux a USING (doc_id, sent_idx, token_num) LEFT JOIN span sp USING (doc_id, sent_idx, token_num) LEFT JOIN crown c USING (doc_id, sent_idx, token_num) LEFT JOIN ends e USING (doc_id, sent_idx, token_num) LEFT JOIN pp USING (doc_id, sent_idx, token_num) LEFT JOIN follow f USING (doc_id, sent_idx, token_num)),
+built AS (SELECT *, {tam('s', 'm', f'list_has_any(m, {MODALS})')} AS tam, CASE WHEN by_text IS NOT NULL THEN 'by_NP' WHEN prep IS NOT NULL THEN 'pp_' || prep || '_NP' WHEN vp_text IS NOT NULL THEN 'to_VP' ELSE 'Ø' END AS comp,
+    CASE WHEN subject_text IS NULL THEN 'DEF_NP' WHEN r.dep = 'expl' THEN 'EXPL' WHEN r.pos = 'PRON' THEN CASE WHEN lower(r.lemma) IN {strings(vocab.RELATIVE_PRONOUNS)} THEN 'REL' ELSE 'PRON' END WHEN r.pos = 'PROPN' THEN 'PROPN' WHEN r.number = 'Plur' THEN 'PL_NP'
+        WHEN definite THEN 'DEF_NP' WHEN indefinite THEN 'INDEF_NP' ELSE 'DEF_NP' END AS subjtype,
+    concat_ws(' ', subject_text, CASE WHEN len(words) > 0 THEN array_to_string(words, ' ') END, text, coalesce(by_text, vp_text, pp_text)) AS surface, array_to_string(list_append(words, text), ' ') AS chain FROM gathered)"""
+
 HEADER = "starts_with(line, '# sent_id')"
 LOOSE = numbered("line = '' OR starts_with(line, '#')")
 
@@ -286,9 +332,7 @@ ORACLES: dict[str, str] = {
     "multi_schema_verbs": f"WITH {PM}, s AS (SELECT DISTINCT head_lemma AS verb, k.pattern FROM kept k JOIN acc a ON a.pattern = k.pattern AND a.accepted) SELECT verb, count(*) AS n_patterns, string_agg(pattern, '|' ORDER BY pattern) AS patterns FROM s GROUP BY 1 HAVING count(*) > 1",
     "spatial_schemas": f"WITH {RAW} SELECT pattern, count(*) AS n, regexp_matches(pattern, '_({'|'.join(vocab.SPATIAL)})_') AS is_spatial FROM valid GROUP BY 1",
     "tam_classifier": f"""WITH {cte('tam_cases')}, t AS (SELECT id, modal, CASE WHEN surface = '' THEN [] ELSE string_split(lower(surface), ' ') END AS s, CASE WHEN lemmas = '' THEN [] ELSE string_split(lower(lemmas), ' ') END AS m FROM tam_cases)
-        SELECT id, CASE WHEN len(s) = 0 THEN 'unknown' WHEN modal AND list_contains(m, 'be') THEN 'modal-be' WHEN s = ['was'] OR s = ['were'] THEN 'past-be' WHEN s = ['is'] OR s = ['are'] OR s = ['am'] THEN 'pres-be'
-        WHEN (list_contains(m, 'have') OR list_contains(s, 'has') OR list_contains(s, 'have')) AND (list_contains(s, 'been') OR list_contains(m, 'be')) THEN 'perf-be' WHEN list_contains(s, 'being') AND list_contains(m, 'be') THEN 'prog-be'
-        WHEN list_contains(m, 'get') THEN 'get-be' ELSE 'unknown' END AS tam, list_has_any(m, [{', '.join(f"'{w}'" for w in vocab.MODALS)}]) AS has_modal FROM t""",
+        SELECT id, {tam("s", "m", "modal")} AS tam, list_has_any(m, {MODALS}) AS has_modal FROM t""",
     "comp_classifier": f"""WITH {cte('comp_cases')}, t AS (SELECT id, string_split(keys, ',') AS k, nullif(lower(prep_head), '') AS h FROM comp_cases)
         SELECT id, CASE WHEN list_contains(k, 'by_entity') OR h = 'by' THEN 'by_NP' WHEN h IS NOT NULL THEN 'pp_' || h || '_NP' WHEN list_has_any(k, ['to_inf', 'to_vp']) THEN 'to_VP'
         WHEN len(list_filter(k, lambda x: starts_with(x, 'pp_'))) > 0 THEN 'pp_' || split_part(list_filter(k, lambda x: starts_with(x, 'pp_'))[1], '_', 2) || '_NP' ELSE 'Ø' END AS comp FROM t""",
@@ -307,6 +351,32 @@ ORACLES: dict[str, str] = {
     "asc_parse": f"WITH {numbered(HEADER, 'NOT failed')} SELECT doc_id, sent_idx, f[1]::INTEGER AS token_num, f[2] AS token, f[3] AS lemma, nullif(f[4], '') AS asc_tag FROM tokens",
     "asc_profile": f"WITH {LOOSE} SELECT f[4] AS asc_tag, count(*) AS n FROM tokens WHERE f[4] <> '' GROUP BY 1",
     "asc_totals": f"WITH {LOOSE} SELECT doc_id, max(sent_idx) AS total_sentences, count(*) AS total_tokens FROM tokens GROUP BY 1",
+    "tree_constructions": f"WITH {TREES} SELECT doc_id, sent_idx, surface, tam, comp, subjtype, tam || ',' || comp AS pattern, head_lemma, subject_text, chain, following_word FROM built",
+    "tree_complements": f"WITH {TREES} SELECT doc_id, sent_idx, head_lemma, by_text, CASE WHEN by_text IS NOT NULL THEN 'by' ELSE prep END AS prep_head, vp_text, coalesce(pp_all, '') AS pps FROM built",
+    "passive_sentences": f"WITH {cte('tree_tokens')} SELECT doc_id, sent_idx, string_agg(token, ' ' ORDER BY token_num) AS text, count(*) FILTER (asc_tag = 'PASSIVE') AS n_tags FROM tree_tokens GROUP BY ALL HAVING count(*) FILTER (asc_tag = 'PASSIVE') > 0",
+    "surface_chains": f"WITH {cte('surface_texts')}, documents AS (SELECT * FROM surface_texts), {RAW} SELECT row_id, surface, tam, comp, subjtype, pattern, head_lemma, subject_text, chain, following_word FROM raw",
+    "tam_first_examples": f"WITH {RAW} SELECT tam, count(*) AS n, arg_min(row_id, (doc_id::BIGINT, sent_idx, pos)) AS row_id, arg_min(surface, (doc_id::BIGINT, sent_idx, pos)) AS surface FROM raw GROUP BY 1",
+    "filtering_cascade": f"""WITH {PM}, n AS (SELECT (SELECT count(*) FROM raw) AS a, (SELECT count(*) FROM valid) AS b, (SELECT count(*) FROM kept) AS c, (SELECT count(*) FROM acc) AS d, (SELECT count(*) FILTER (accepted) FROM acc) AS e)
+        SELECT 'total' AS stage, a AS n, 100.0::DOUBLE AS percent FROM n UNION ALL SELECT 'valid', b, round_even(b * 100.0::DOUBLE / a, 2) FROM n UNION ALL SELECT 'formulaic', c, round_even(c * 100.0::DOUBLE / b, 2) FROM n
+        UNION ALL SELECT 'patterns', d, NULL FROM n UNION ALL SELECT 'accepted', e, round_even(e * 100.0::DOUBLE / d, 2) FROM n""",
+    "schema_inventory": f"WITH {PM} SELECT pattern AS schema, n_tokens AS n, round_even(npmi, 4) AS npmi, round_even(h_slot, 4) AS h_slot, round_even(g_squared, 2) AS g_squared, round_even(atp, 4) AS atp, round_even(delta_p, 4) AS delta_p, lane FROM acc WHERE accepted",
+    "exact_p_tpch": f"""WITH {TP}, x AS (SELECT pattern, sqrt(g_squared / 2) AS x FROM pm)
+        SELECT pattern, {r6("CASE WHEN x <= 0 THEN 1.0 WHEN x > 6 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 200), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(x) - lgamma(2 * n + 2) + lgamma(n + 1) - x * x))) END", 'exact_p')} FROM x""",
+    "corpus_csv": "SELECT doc_id::VARCHAR AS doc_id, md5(text) AS md5 FROM documents WHERE text IS NOT NULL",
+    "asc_folder": f"WITH {numbered(HEADER, 'NOT failed')}, t AS (SELECT doc_id, count(*) AS n_tokens, max(sent_idx) AS n_sentences FROM tokens GROUP BY 1), b AS (SELECT doc_id, bool_or(failed) AS failed FROM fine GROUP BY 1) SELECT a.doc_id, b.failed, n_tokens, n_sentences FROM asc_files a JOIN b USING (doc_id) LEFT JOIN t USING (doc_id) WHERE a.value <> ''",
+    "instances_csv": f"WITH {SCORED} SELECT doc_id, surface, tam, comp, subjtype, head_lemma, pattern, subject_text, {r6('instance_atp')}, {r6('instance_dpb')}, {r6('instance_hr')}, true AS nothing_for_empty FROM scored",
+    "instances_csv_missing": f"WITH {cte('instance_cases')} SELECT doc_id, coalesce(instance_atp, 0.0) AS instance_atp, coalesce(instance_dpb, 0.0) AS instance_dpb, coalesce(instance_hr, 'inf'::DOUBLE) = 'inf'::DOUBLE AS hr_is_inf, CASE WHEN instance_hr IS NULL THEN 999.0 WHEN instance_hr <> 'inf'::DOUBLE THEN instance_hr END AS hr_999 FROM instance_cases",
+    "patterns_csv": f"WITH {TP} SELECT pattern, n_tokens, n_docs, {', '.join(map(r6, NUMBERS))}, row_number() OVER (ORDER BY n_tokens DESC, pattern)::INTEGER AS place FROM pm",
+    "pattern_names": f"WITH {PARTS} SELECT DISTINCT pattern FROM parts",
+    "inventory_csv": f"""WITH {PM}, i AS (SELECT pattern AS schema, n_tokens AS n, n_docs, {', '.join(map(r6, ('npmi', 'h_slot', 'g_squared', 'atp', 'delta_p')))}, coalesce(lane, '') AS lane, accepted FROM acc)
+        SELECT 'patterns' AS file, * FROM i UNION ALL SELECT 'schemas', * REPLACE (NULL AS accepted) FROM i WHERE accepted""",
+    "results_json": f"WITH {TP} SELECT 'patterns' AS part, pattern AS name, n_tokens AS n, {r6('npmi', 'x')} FROM pm UNION ALL SELECT 'docs', quality::VARCHAR, count(*), NULL FROM labels GROUP BY 2",
+    "venn_json": f"WITH {MEMBERS}, v AS (SELECT pattern, CASE WHEN f AND n1 THEN 'both' WHEN f THEN 'FULL_only' ELSE 'NO_LAYER1_only' END AS part FROM has WHERE f OR n1) SELECT part, count(*) AS n, string_agg(pattern, '|' ORDER BY pattern) AS patterns FROM v GROUP BY 1",
+    "list_file": "SELECT l.doc_id::VARCHAR AS doc_id, d.doc_id IS NOT NULL AS found, length(d.text) AS n_chars FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id UNION ALL SELECT 'absent', false, NULL",
+    "summary_profile": f"""WITH {cte('tagger_summary')}, m AS (SELECT 'clauseCount' AS metric, try_cast(clauseCount AS DOUBLE) AS x FROM tagger_summary UNION ALL SELECT 'clauseCountNoBe', try_cast(clauseCountNoBe AS DOUBLE) FROM tagger_summary UNION ALL SELECT 'PASSIVE_Prop', try_cast(PASSIVE_Prop AS DOUBLE) FROM tagger_summary),
+        s AS (SELECT metric, count(*) AS n, min(x) AS a, max(x) AS b, avg(x) AS c FROM m WHERE x IS NOT NULL GROUP BY 1)
+        SELECT 'filename|nwords|PASSIVE_freq|clauseCount|clauseCountNoBe|passive_Rate|PASSIVE_Prop' AS columns, 7 AS num_columns, (SELECT count(*) FROM tagger_summary) AS num_rows, 'PASSIVE_freq|passive_Rate|PASSIVE_Prop' AS passive_columns,
+        (SELECT string_agg(metric || ' ' || n || ' ' || printf('%.4f', a) || ' ' || printf('%.4f', b) || ' ' || printf('%.4f', c), '; ' ORDER BY metric) FROM s) AS stats, (SELECT string_agg(filename, '|' ORDER BY filename) FROM (SELECT filename FROM tagger_summary ORDER BY filename LIMIT 3)) AS sample_rows""",
     "resume_anti_join": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "listed_documents": "SELECT l.doc_id, d.doc_id IS NOT NULL AS found, length(d.text) AS n_chars FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id",
     "metric_profile": f"WITH m AS (SELECT 'user_id' AS metric, user_id::DOUBLE AS x FROM events UNION ALL SELECT 'value', value FROM events UNION ALL SELECT 'event_type', try_cast(event_type AS DOUBLE) FROM events) SELECT metric, count(*) AS n, {r6('min(x)', 'least')}, {r6('max(x)', 'largest')}, {r6('avg(x)', 'mean')} FROM m WHERE x IS NOT NULL GROUP BY 1",

@@ -1,20 +1,27 @@
-"""The registered queries of the reference operators; each reads whole tables."""
+"""The registered queries of the reference operators; each reads whole tables.
+
+Those that start from ``raw`` use the rows of ``documents`` whose lang is ``en``, all of them: the surface rules that stand
+in for a parser are English by design.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions import classify, lemmas, normalize
+from ..functions.schemas import INSTANCES
 from ..operators import acceptance, batches, compare, filters, metrics, statistics, surface, tree
-from ..sources import files
+from ..sources import files, sinks, storage
 from . import experiments, fixtures
 
 #: Replicates of the permutation queries.
-ITERATIONS = 20
+ITERATIONS = 1000
+_KEPT: list[DataFrame] = []
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,6 +35,26 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(F.abs(c) != float("inf"), r6(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df in memory, then on disk, until the next registered query begins."""
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def releasing(query: Query) -> Query:
+    """The query, which first lets go of what earlier ones kept (their results can still be read: they are worked out anew)."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        while _KEPT:
+            old = _KEPT.pop()
+            if old.sparkSession.sparkContext._jsc is not None:
+                old.unpersist()
+        return query(spark, sf_dir)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,8 +64,8 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept (memory, then disk) as several aggregates of one plan read it; texts are thus read once."""
-    return filters.valid(raw(spark, sf_dir)).select("row_id", "doc_id", "surface", "tam", "comp", "pattern", "head_lemma", "subject_text", "aux_chain", "following_word").persist(StorageLevel.MEMORY_AND_DISK)
+    """Kept as several aggregates of one plan read it; texts are thus read once."""
+    return kept(filters.valid(raw(spark, sf_dir)).select("row_id", "doc_id", "surface", "tam", "comp", "subjtype", "pattern", "head_lemma", "subject_text", "aux_chain", "following_word"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +74,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that pass the instance filters; kept, as experiments read them again and again."""
-    return filters.formulaic(scored(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    return kept(filters.formulaic(scored(spark, sf_dir)))
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +96,24 @@ def flagship_patterns(spark, sf_dir):
     return rounded(patterns(spark, sf_dir).drop("npmi_pass", "h_slot_pass"))
 
 
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select("row_id", "surface", "tam", "comp", "subjtype", "pattern", "head_lemma", "subject_text", F.array_join("aux_chain", " ").alias("chain"), "following_word")
+
+
 def surface_constructions(spark, sf_dir):
-    return raw(spark, sf_dir).select("row_id", "surface", "tam", "comp", "subjtype", "pattern", "head_lemma", "subject_text", F.array_join("aux_chain", " ").alias("chain"), "following_word")
+    return shown(raw(spark, sf_dir))
+
+
+def tree_complements(spark, sf_dir):
+    c = F.col("complements")
+    named = F.filter(F.map_entries(c), lambda e: e["key"].startswith("pp_"))
+    pps = F.array_join(F.array_sort(F.transform(named, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "; ")
+    return tree.constructions(*fixtures.trees(spark)).select("doc_id", "sent_idx", "head_lemma", c["by"].alias("by_text"), c["prep_head"].alias("prep_head"), c["to_vp"].alias("vp_text"), pps.alias("pps"))
+
+
+def passive_sentences(spark, sf_dir):
+    tokens = fixtures.trees(spark)[0]
+    return tree.sentences(tokens).join(filters.passive(tokens).groupBy(*tree.SENTENCE).agg(F.count("*").alias("n_tags")), tree.SENTENCE)
 
 
 def instance_metrics(spark, sf_dir):
@@ -94,13 +137,11 @@ def members(spark, sf_dir):
 
 
 def tam_results(spark, sf_dir):
-    rows = survivors(spark, sf_dir)
-    return experiments.replicate_results(rows, experiments.tam_shuffle(rows, ITERATIONS), ITERATIONS)
+    return experiments.shuffle_results(survivors(spark, sf_dir), "tam", ITERATIONS)
 
 
 def comp_results(spark, sf_dir):
-    rows = survivors(spark, sf_dir)
-    return experiments.replicate_results(rows, experiments.comp_shuffle(rows, ITERATIONS), ITERATIONS)
+    return experiments.shuffle_results(survivors(spark, sf_dir), "comp", ITERATIONS)
 
 
 def grid(spark, sf_dir):
@@ -129,10 +170,104 @@ def profile(spark, sf_dir):
     return rounded(compare.profile(e, ["user_id", "value", "event_type"]))
 
 
+def cascade(spark, sf_dir):
+    return experiments.cascade(raw(spark, sf_dir), valid(spark, sf_dir), survivors(spark, sf_dir), patterns(spark, sf_dir))
+
+
+# what is written is read again
+
+
+def corpus_csv(spark, sf_dir):
+    path = storage.scratch(spark, "corpus")
+    sinks.write_corpus(table(spark, sf_dir, "documents").where("text is not null"), path, "file_name", "text_field")
+    return files.read_corpus(spark, path, "file_name", "text_field").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"))
+
+
+def asc_folder(spark, sf_dir):
+    """Annotated files as files in a folder, next to others."""
+    path = storage.scratch(spark, "asc")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, text in [*((f"{d}{files.ASC_SUFFIX}", t) for d, t in fixtures.TABLES["asc_files"][1]), ("other.txt", "1\tq\tq\tPASSIVE")]:
+        out = fs.create(hadoop.Path(f"{path}/{name}"))
+        out.write(bytearray(text.encode()))
+        out.close()
+    given = files.read_asc_files(spark, path)
+    failed = files.failed_files(given).withColumn("failed", F.lit(True))
+    counted = files.asc_tokens(given).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("sent_idx").alias("n_sentences"))
+    return given.select("doc_id").join(failed, "doc_id", "left").join(counted, "doc_id", "left").select("doc_id", F.coalesce("failed", F.lit(False)).alias("failed"), "n_tokens", "n_sentences")
+
+
+def instances_csv(spark, sf_dir):
+    path = storage.scratch(spark, "instances")
+    sinks.write_instances(scored(spark, sf_dir), path)
+    sinks.write_instances(spark.createDataFrame([], INSTANCES), f"{path}-none")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}-none")
+    empty = not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return rounded(files.read_instances(spark, path)).withColumn("nothing_for_empty", F.lit(empty))
+
+
+def instances_csv_missing(spark, sf_dir):
+    """The two readings of a missing boundary entropy."""
+    path = storage.scratch(spark, "instances")
+    given = fixtures.table(spark, "instance_cases")
+    sinks.write_constructions(given, path)
+    a, b = (files.read_instances(spark, path, x).select(F.col("doc_id"), "instance_atp", "instance_dpb", F.col("instance_hr").alias(n)) for n, x in (("hr", float("inf")), ("hr_999", 999.0)))
+    return a.select("doc_id", "instance_atp", "instance_dpb", (F.col("hr") == float("inf")).alias("hr_is_inf")).join(b.select("doc_id", "hr_999"), "doc_id").withColumn("hr_999", F.when(F.col("hr_999") != float("inf"), F.col("hr_999")))
+
+
+def patterns_csv(spark, sf_dir):
+    """The file's rows in its order: the most frequent first, ties by name."""
+    path = storage.scratch(spark, "patterns")
+    sinks.write_patterns(part_patterns(spark, sf_dir), path)
+    place = F.row_number().over(Window.orderBy("_file", "_row"))  # a row a pattern
+    back = files.read_patterns(spark, path).select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    return rounded(back.withColumn("place", place).drop("_file", "_row"))
+
+
+def inventory_csv(spark, sf_dir):
+    path = storage.scratch(spark, "inventory")
+    sinks.write_inventory(patterns(spark, sf_dir), path)
+    read = lambda part: spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/{part}")
+    numbers = [r6(F.col(c).cast("double")).alias(c) for c in ("npmi", "h_slot", "g_squared", "atp", "delta_p")]
+    cols = lambda name: [F.col(name).alias("schema"), F.col("n").cast("long").alias("n"), F.col("n_docs").cast("long").alias("n_docs"), *numbers, F.coalesce("lane", F.lit("")).alias("lane")]
+    all_ = read("patterns").select(F.lit("patterns").alias("file"), *cols("pattern"), F.col("accepted").cast("boolean").alias("accepted"))
+    return all_.union(read("schemas").select(F.lit("schemas"), *cols("schema"), F.lit(None).cast("boolean")))
+
+
+def results_json(spark, sf_dir):
+    path = storage.scratch(spark, "json")
+    sinks.write_json({"patterns": part_patterns(spark, sf_dir).select("pattern", "n_tokens", "npmi"), "docs": table(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n"))}, path)
+    a = spark.read.schema("pattern string, n_tokens long, npmi double").json(f"{path}/patterns").select(F.lit("patterns").alias("part"), F.col("pattern").alias("name"), F.col("n_tokens").alias("n"), r6("npmi").alias("x"))
+    return a.union(spark.read.schema("quality string, n long").json(f"{path}/docs").select(F.lit("docs"), "quality", "n", F.lit(None).cast("double")))
+
+
+def venn_json(spark, sf_dir):
+    path = storage.scratch(spark, "venn")
+    sinks.write_venn(experiments.venn(members(spark, sf_dir)), path)
+    return spark.read.schema("part string, n long, patterns array<string>").json(path).select("part", "n", F.array_join("patterns", "|").alias("patterns"))
+
+
+def list_file(spark, sf_dir):
+    path = storage.scratch(spark, "list")
+    given = table(spark, sf_dir, "labels").select(F.concat(F.lit("  "), F.col("doc_id").cast("string"), F.lit(" ")).alias("value"))
+    given.union(spark.createDataFrame([("",), ("   ",), ("absent",)], "value string")).write.text(path)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return files.listed_documents(files.read_list(spark, path), docs).select("doc_id", "found", F.length("text").cast("long").alias("n_chars"))
+
+
+def summary_profile(spark, sf_dir):
+    out = compare.summary(fixtures.table(spark, "tagger_summary"), ["clauseCount", "clauseCountNoBe", "ascMATTR11", "PASSIVE_Prop"], "filename")
+    stat = F.transform("stats", lambda x: F.concat_ws(" ", x["metric"], x["n"].cast("string"), F.format_number(x["least"], 4), F.format_number(x["largest"], 4), F.format_number(x["mean"], 4)))
+    return out.select(F.array_join("columns", "|").alias("columns"), "num_columns", "num_rows", F.array_join("passive_columns", "|").alias("passive_columns"), F.array_join(stat, "; ").alias("stats"), F.array_join(F.transform("sample_rows", lambda r: F.get_json_object(r, "$.filename")), "|").alias("sample_rows"))
+
+
 QUERIES: dict[str, Query] = {
     "flagship_patterns": flagship_patterns,
     # extraction and filters
     "surface_constructions": surface_constructions,
+    "surface_chains": lambda s, d: shown(surface.constructions(fixtures.table(s, "surface_texts"))),
+    "tam_first_examples": lambda s, d: filters.first_examples(raw(s, d), "tam", F.struct(F.col("doc_id").cast("long"), "sent_idx", "pos")).select("tam", "n", "row_id", "surface"),
     "filter_reasons": lambda s, d: filters.reason_counts(raw(s, d)),
     "invalid_tam": lambda s, d: filters.invalid_tam_counts(raw(s, d)),
     "filter_marginals": lambda s, d: filters.marginals(filters.valid(raw(s, d))),
@@ -167,7 +302,7 @@ QUERIES: dict[str, Query] = {
     # permutations
     "tam_shuffle": lambda s, d: rounded(tam_results(s, d)),
     "comp_shuffle": lambda s, d: rounded(comp_results(s, d)),
-    "verb_shuffle": lambda s, d: rounded(experiments.verb_shuffle_results(survivors(s, d), ITERATIONS)),
+    "verb_shuffle": lambda s, d: rounded(experiments.shuffle_results(survivors(s, d), "head_lemma", ITERATIONS)),
     "perm_summary": lambda s, d: rounded(experiments.replicate_summary(comp_results(s, d))),
     "perm_histogram": lambda s, d: rounded(compare.histogram(comp_results(s, d), "n_accepted")),
     # sensitivity
@@ -199,7 +334,25 @@ QUERIES: dict[str, Query] = {
     "asc_profile": lambda s, d: files.asc_profile(fixtures.table(s, "asc_files")),
     "asc_totals": lambda s, d: files.asc_totals(fixtures.table(s, "asc_files")),
     "tree_constructions": lambda s, d: tree.constructions(*fixtures.trees(s)).select("doc_id", "sent_idx", "surface", "tam", "comp", "subjtype", "pattern", "head_lemma", "subject_text", F.array_join("aux_chain", " ").alias("chain"), "following_word"),
+    "tree_complements": tree_complements,
+    "passive_sentences": passive_sentences,
+    "filtering_cascade": cascade,
+    "schema_inventory": lambda s, d: sinks.schema_inventory(patterns(s, d)),
+    "exact_p_tpch": lambda s, d: rounded(part_patterns(s, d).select("pattern", metrics.exact_p_value(F.col("g_squared")).alias("exact_p"))),
+    # readers and writers
+    "corpus_csv": corpus_csv,
+    "asc_folder": asc_folder,
+    "instances_csv": instances_csv,
+    "instances_csv_missing": instances_csv_missing,
+    "patterns_csv": patterns_csv,
+    "pattern_names": lambda s, d: files.pattern_names(part_patterns(s, d)),
+    "inventory_csv": inventory_csv,
+    "results_json": results_json,
+    "venn_json": venn_json,
+    "list_file": list_file,
+    "summary_profile": summary_profile,
     "resume_anti_join": lambda s, d: files.missing_documents(table(s, d, "documents").select("doc_id", "lang"), table(s, d, "labels")),
     "listed_documents": lambda s, d: files.listed_documents(table(s, d, "labels"), table(s, d, "documents")).select("doc_id", "found", F.length("text").cast("long").alias("n_chars")),
     "metric_profile": profile,
 }
+QUERIES = {name: releasing(query) for name, query in QUERIES.items()}

@@ -7,7 +7,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vocab
 from ..operators import acceptance, batches, filters
+from ..sources.sinks import schema_inventory
 from . import experiments
 
 #: Rows of a section; what is longer ends in a line that says how many rows there are.
@@ -105,3 +107,17 @@ def annotation_report(files: DataFrame) -> str:
 
     totals = asc_totals(files)
     return render("Annotation", [("Totals", totals.agg(F.count("*").alias("files"), F.sum("total_sentences").alias("sentences"), F.sum("total_tokens").alias("tokens"), F.max("total_tokens").alias("longest"))), ("Tags", shares(asc_profile(files)))])
+
+
+def summary_report(raw: DataFrame, kept: DataFrame, scored: DataFrame, patterns: DataFrame, tam: DataFrame, verb: DataFrame, accepted: DataFrame, members: DataFrame) -> str:
+    """Of a whole validation run: thresholds, cascade, accepted patterns, permutations, stability, ablation.
+
+    tam and verb are replicate results, accepted the patterns by setting of the grid, members those by configuration.
+    """
+    limits = scored.sparkSession.createDataFrame([(k, float(getattr(vocab, k))) for k in ("ATP", "DPB", "HR", "NPMI", "H_SLOT", "G2_NPMI", "G2_H_SLOT", "NPMI_FLOOR")], "threshold string, value double")
+    observed = patterns.where("accepted")
+    tests = [x.select(F.lit(n).alias("test"), "n_iterations", "mean_jaccard", "std_jaccard", "p_value_identity", "identity_test_valid") for n, x in (("TAM", experiments.replicate_summary(tam)), ("verb", experiments.replicate_summary(verb)))]
+    return render("Summary", [
+        ("Thresholds", limits), ("Filtering cascade", experiments.cascade(raw, kept, filters.formulaic(scored), patterns)), ("Accepted schemas", schema_inventory(patterns).orderBy(F.desc("n"), "schema")),
+        ("Permutations", tests[0].union(tests[1])), ("Stability", experiments.pattern_stability(accepted, observed).orderBy("pattern")), ("Instance filters", experiments.layer1_ablation(members)),
+    ])

@@ -16,8 +16,9 @@ def doc_id_of(file_name: Column, suffix: str = ASC_SUFFIX) -> Column:
 
 
 def read_asc_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, value): the annotated files of a folder, each as one text; many small files share a task."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{ASC_SUFFIX}").option("recursiveFileLookup", True).text(folder)
+    """(doc_id, value): the annotated files of a folder, each as one text; many small files share a task, empty ones give no row."""
+    # wholetext must be an argument: text() overrides an option of that name
+    raw = spark.read.option("pathGlobFilter", f"*{ASC_SUFFIX}").option("recursiveFileLookup", True).text(folder, wholetext=True)
     return raw.select(doc_id_of(F.col("_metadata.file_name")).alias("doc_id"), "value")
 
 
@@ -79,10 +80,10 @@ def read_corpus(spark: SparkSession, path: str, id_column: str = "doc_id", text_
     return table.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
 
 
-def read_instances(spark: SparkSession, path: str) -> DataFrame:
-    """INSTANCES from CSV; a missing boundary entropy is infinite, other missing numbers 0."""
+def read_instances(spark: SparkSession, path: str, missing_hr: float = float("inf")) -> DataFrame:
+    """INSTANCES from CSV; a missing boundary entropy is ``missing_hr`` (infinite, or 999 as permutation scripts take it), other missing numbers 0."""
     raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("positiveInf", "inf").option("enforceSchema", False).schema(INSTANCES).csv(path)
-    return raw.withColumns({"instance_atp": F.coalesce("instance_atp", F.lit(0.0)), "instance_dpb": F.coalesce("instance_dpb", F.lit(0.0)), "instance_hr": F.coalesce("instance_hr", F.lit(float("inf")))})
+    return raw.withColumns({"instance_atp": F.coalesce("instance_atp", F.lit(0.0)), "instance_dpb": F.coalesce("instance_dpb", F.lit(0.0)), "instance_hr": F.coalesce("instance_hr", F.lit(float(missing_hr)))})
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:

@@ -19,17 +19,25 @@ def _csv(table: DataFrame, path: str, mode: str) -> None:
             return F.when(c == float("inf"), "inf").otherwise(c.cast("string")).alias(f.name)
         return c
 
-    table.select(*map(flat, table.schema)).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    out = table.select(*map(flat, table.schema)).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "")
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_corpus(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", mode: str = "error") -> None:
+    """(doc_id, text) as a CSV that ``files.read_corpus`` reads; texts are quoted, with all their lines."""
+    _csv(docs.select(F.col("doc_id").cast("string").alias(id_column), F.col("text").alias(text_column)), path, mode)
 
 
 def write_instances(rows: DataFrame, path: str, mode: str = "error") -> None:
-    """The eleven columns of INSTANCES as CSV; infinite entropies as ``inf``, other columns left out."""
-    _csv(rows.select(*INSTANCES.names), path, mode)
+    """The eleven columns of INSTANCES as CSV; infinite entropies as ``inf``, other columns left out. An empty table writes nothing."""
+    if not rows.isEmpty():
+        _csv(rows.select(*INSTANCES.names), path, mode)
 
 
 def write_patterns(patterns: DataFrame, path: str, mode: str = "error") -> None:
-    """The metrics of patterns as CSV, the most frequent first."""
-    _csv(patterns.select(*NAMES).orderBy(F.desc("n_tokens"), "pattern"), path, mode)
+    """The metrics of patterns as CSV, the most frequent first. An empty table writes nothing."""
+    if not patterns.isEmpty():
+        _csv(patterns.select(*NAMES).orderBy(F.desc("n_tokens"), "pattern"), path, mode)
 
 
 def write_constructions(rows: DataFrame, path: str, mode: str = "error") -> None:
@@ -42,6 +50,12 @@ def inventory(patterns: DataFrame) -> DataFrame:
     return patterns.select("pattern", F.col("n_tokens").alias("n"), "n_docs", "npmi", "h_slot", "g_squared", "atp", "delta_p", "accepted", F.coalesce("lane", F.lit("")).alias("lane"))
 
 
+def schema_inventory(patterns: DataFrame) -> DataFrame:
+    """(schema, n, npmi, h_slot, g_squared, atp, delta_p, lane) of the accepted patterns, rounded half to even: four decimals, g_squared two."""
+    digits = {"npmi": 4, "h_slot": 4, "g_squared": 2, "atp": 4, "delta_p": 4}
+    return inventory(patterns).where("accepted").select(F.col("pattern").alias("schema"), "n", *(F.bround(c, d).alias(c) for c, d in digits.items()), "lane")
+
+
 def write_inventory(patterns: DataFrame, path: str, mode: str = "error") -> None:
     """Patterns with their lanes: ``patterns`` for all, ``schemas`` for those accepted, the most frequent first."""
     all_ = inventory(patterns).orderBy(F.desc("n"), "pattern")
