@@ -28,7 +28,7 @@ def test_equals_brute_force_in_any_blocks(spark, monkeypatch):
         df = spark.createDataFrame([(int(i), x.tolist(), 3) for i, x in zip(ids, v)], "vec_id long, embedding array<float>, score int")
         assert sorted(map(tuple, K.exact_top_k(df, every=7).collect())) == want
         monkeypatch.setattr(K, "BLOCK", 150)
-        monkeypatch.setattr(K, "TILE", 30)
+        monkeypatch.setattr(K, "PIECE", 64)
         assert sorted(map(tuple, K.exact_top_k(df, every=7).collect())) == want
 
 
@@ -42,6 +42,14 @@ def test_bit_slices_prune_and_keep_the_top():
         assert score.tolist() == np.sort(full)[::-1][:10].tolist()
 
 
+def test_repeated_query_rows_are_queries_of_their_own(spark):
+    rows = [(100, [1.0, 0.0], "a"), (100, [0.0, 1.0], "b"), (1, [1.0, 0.0], "c"), (2, [0.0, 0.5], "d")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id string").repartition(3)
+    got = sorted(map(tuple, K.exact_top_k(df).collect()))
+    one = 1024 * 1024
+    assert got == sorted([(100, 1, 1, one), (100, 2, 2, 0), (100, 3, 100, 0), (100, 1, 2, one // 2), (100, 2, 1, 0), (100, 3, 100, 0)])
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (None, [1.0, 1.0]), (6, [0.25]), (7, []), (8, [-1.0, 0.0]), (8, [-1.0, 0.0])]

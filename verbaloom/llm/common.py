@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import scratch
+
 _SHIPPED: set[str] = set()
 
 
@@ -35,19 +37,9 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="verbaloom-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder that the cluster shares; what lies there goes when the driver ends."""
+    return scratch(spark, name)
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -58,11 +50,35 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows that JVM and Python hold at once; rows can be very long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) != rows:
-        spark.conf.set(key, str(rows))
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, compression: str = "none") -> DataFrame:
+    """As ``stored``, in buckets by ``key``: later joins on it do not move these rows. The catalog keeps no entry of it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.format("parquet").option("compression", compression).option("path", shared_path(spark, name)).bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    # an external table: its files stay, and the plan above has found them
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
+    """Bound the rows and the bytes that JVM and Python hold at once, as rows can be very long texts; a row is never cut.
+
+    Plans are made when their results are asked for, so the session keeps the setting; it changes no result.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        spark.conf.set(key, value)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1_500_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
