@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbaloom.llm import decontam, nearcopy, packing, substring, toxicity
+from verbaloom.llm import decontam, packing, similar, substring, toxicity
 from verbaloom.llm.common import documents, fold, stored
 
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies (five-word shingles, Jaccard similarity 0.8 or more), that of the smallest id."""
-    return nearcopy.keep_one(docs)
+    """One document of each group of near-copies, that of the smallest id: by SimHash of five-word shingles, verified at a Jaccard similarity of 0.8 or more."""
+    return similar.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

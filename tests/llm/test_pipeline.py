@@ -6,10 +6,11 @@ import corpus_pipeline as P
 import numpy as np
 import public_tokenizers
 from test_decontam import slow as edits_of
-from test_simhash import slow_fingerprint
+from test_similar import grams
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from verbaloom.llm import decontam, simhash, substring, toxicity
+from verbaloom.llm import decontam, similar, simhash, substring, toxicity
 from verbaloom.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,8 +61,8 @@ def test_run_equals_brute_force(spark, tmp_path):
     p = toxicity.sigmoid(toxicity.Scorer(net).logits([t for _, t, *_ in docs]))
     left = [d for d, s in zip(docs, p) if s < 0.5]
     assert 40 < len(docs) - len(left) < 90
-    fp = np.array([slow_fingerprint(t, 4) for _, t, *_ in left], dtype=np.uint64)
-    root = components(len(left), *np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4))
+    sets = [grams(t) for _, t, *_ in left]
+    root = components(len(left), *np.nonzero(np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])))
     ids = np.array([d[0] for d in left])
     one = [d for k, d in enumerate(left) if d[0] == ids[root == root[k]].min()]
     assert len(one) < len(left) - 5
@@ -97,6 +98,10 @@ def test_keep_one_with_null_and_repeated_rows(spark):
     a, b, c = "a b c d e f", "u v w x y z", "k l m n o p"
     rows = [(4, a, "p"), (2, a, "q"), (None, a, "r"), (None, b, "s"), (None, b, "t"), (7, c, "u"), (7, c, "v"), (9, None, None), (8, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, root string").repartition(3)
+    for f in (simhash.keep_one, similar.keep_one):
+        clash = df.withColumns({"Unnamed_row": F.lit("KEEP1"), "id_of_row": F.lit("KEEP2"), "HASH_of_row": F.lit("KEEP3"), "_hash": F.lit("KEEP4"), "_id": F.lit(5), "_unnamed": F.lit(6), "node": F.lit(7), "row": F.lit(8)})
+        back = f(clash)
+        assert back.columns == clash.columns and {tuple(r)[3:] for r in back.collect()} == {("KEEP1", "KEEP2", "KEEP3", "KEEP4", 5, 6, 7, 8)}
     got = simhash.keep_one(df)
     assert got.columns == df.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("2", a), ("None", b), ("7", c), ("8", "")])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ship, small_batches, stored, text_groups
+from .common import components, ship, small_batches, stored, text_groups, unused
 from .graph import connected_components
 
 #: Rows of a bucket that one task compares at once; larger buckets are dealt in pairs of parts.
@@ -201,8 +201,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """The documents, with all their columns, but one row of each component of ``near_duplicates``: that of the smallest doc_id.
 
-    Among rows of that doc_id, the one with the smallest text hash stays; rows equal in both are one. A row with a null
-    doc_id stays only if no row of its component has an id. Texts are shuffled once.
+    Ids must be integers, or text that holds them. Among rows of that doc_id, the one with the smallest text hash stays;
+    rows equal in both are one. A row with a null doc_id stays only if no row of its component has an id. Null texts are
+    empty ones. An empty table gives no rows.
     """
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
@@ -212,11 +213,21 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, least: DataFrame) -> DataFrame:
-    """The documents that ``least`` names (row: unnamed, doc_id, text_hash), each once."""
-    kept = least.select(F.coalesce("row.doc_id", F.lit(0)).alias("_id"), F.col("row.unnamed").alias("_unnamed"), F.col("row.text_hash").alias("_hash"))
-    mine = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_unnamed": F.col("doc_id").isNull(), "_hash": F.xxhash64(F.col("text").cast("string"))})
-    key = ["_id", "_unnamed", "_hash"]
-    return mine.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    """The documents that ``least`` names (row: unnamed, doc_id, text_hash), each once, under any names of their columns.
+
+    Texts are shuffled once and not sorted, unless rows are equal in id and text: those alone are then made distinct.
+    """
+    i, n, h = key = unused(docs.columns, "id_of_row", "unnamed_row", "hash_of_row")
+    named = {i: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), n: F.col("doc_id").isNull(), h: F.xxhash64(F.col("text").cast("string"))}
+    kept = least.select(F.coalesce("row.doc_id", F.lit(0)).alias(i), F.col("row.unnamed").alias(n), F.col("row.text_hash").alias(h))
+    times = docs.select(*(c.alias(k) for k, c in named.items())).groupBy(*key).agg(F.count("*").alias("many")).where("many > 1").select(*key)
+    often = stored(times.join(kept, key, "left_semi"), "equal-rows")
+    mine = docs.withColumns(named)
+    if often.isEmpty():
+        return mine.join(kept.hint("shuffle_hash"), key, "left_semi").select(*docs.columns)
+    once = mine.join(kept.join(often, key, "left_anti").hint("shuffle_hash"), key, "left_semi")
+    one = mine.join(often.hint("shuffle_hash"), key, "left_semi").dropDuplicates(key)
+    return once.union(one).select(*docs.columns)
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
