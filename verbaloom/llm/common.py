@@ -50,11 +50,11 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int, compression: str = "none") -> DataFrame:
+def bucketed(df: DataFrame, path: str, key: str, buckets: int, compression: str = "none") -> DataFrame:
     """As ``stored``, in buckets by ``key``: later joins on it do not move these rows. The catalog keeps no entry of it."""
     spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    df.write.format("parquet").option("compression", compression).option("path", shared_path(spark, name)).bucketBy(buckets, key).saveAsTable(table)
+    table = f"verbaloom_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", compression).option("path", path).bucketBy(buckets, key).saveAsTable(table)
     out = spark.table(table)
     # an external table: its files stay, and the plan above has found them
     spark.sql(f"DROP TABLE {table}")

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": topk.OP8_SQL}
+    return {"op5_substring_dedup": substring.OP5_SQL, "op8_exact_top_k": topk.OP8_SQL}
