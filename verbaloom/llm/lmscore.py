@@ -3,12 +3,12 @@
 Target and background models share the tokenizer's vocabulary, order, and smoothing; the background's counts are scaled
 to the target's size. Each token of a document has a loss under either; the mean of their differences is its score
 (lower: more like the target). Bigrams are counted exactly: their table grows with the corpus, stays distributed, and
-is joined to the bigrams of each chunk of documents.
+is joined to the bigrams of each chunk of documents. A document's own counts are taken out of both models before they
+score it, so it is judged by the others: a text that occurs only once does not vouch for itself.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, shared_path, ship, small_batches, stored, text_groups
+from .common import bucketed, documents, shared_path, ship, small_batches, stored, text_groups
 from .tokens import word_bpe
 
 #: Strength of the unigram prior in a bigram's probability, and of the uniform one in a unigram's, in counts.
 PRIOR, FLAT = 50.0, 0.5
 #: Tokens of a chunk (a longer document is one of its own), and what a document counts besides its tokens.
 CHUNK, EACH = 1 << 22, 16
+#: Tokens of a slice of a chunk's documents that is scored at once (a longer document is one of its own).
+SLICE = 1 << 19
+#: Bytes of text in a bucket of chunks, and the most buckets that a table may have.
+BUCKET, BUCKETS = 64_000_000, 100_000
 #: Rows of bigrams that an Arrow batch holds.
 PAIRS = 100_000
 
@@ -79,18 +83,20 @@ def chunks(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield chunk()
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "chunk long, doc_ids array<long>, sizes array<long>, ids binary")
-    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made.write.format("parquet").option("compression", "zstd").option("path", shared_path(spark, "token-ids")).bucketBy(n, "chunk").saveAsTable(table := f"token_ids_{uuid.uuid4().hex}")
-    return spark.table(table)
+    raw = int(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+    return bucketed(made, shared_path(spark, "token-ids"), "chunk", min(BUCKETS, max(2 * spark.sparkContext.defaultParallelism, -(-raw // BUCKET))), "zstd")
 
 
-def pairs(coded: DataFrame, target: DataFrame, vocabulary: int) -> DataFrame:
-    """(chunk, key, background, target) for each distinct bigram of each chunk: how often it occurs there in all documents, and in those of ``target`` (doc_id)."""
-    spark = coded.sparkSession
+def marked(coded: DataFrame, target: DataFrame) -> DataFrame:
+    """The chunks with ``places``, those of their documents that are in the target (doc_id)."""
     places = coded.select("chunk", F.posexplode("doc_ids").alias("place", "doc_id"))
     # a target grows with the corpus, so it is never broadcast: one way at every size
     places = places.join(target.hint("merge"), "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("place").alias("places"))
-    marked = coded.select("chunk", "sizes", "ids").join(places.hint("merge"), "chunk", "left").select("chunk", "sizes", "ids", "places")
+    return coded.join(stored(places, "target-places").hint("merge"), "chunk", "left").select("chunk", "doc_ids", "sizes", "ids", "places")
+
+
+def pairs(given: DataFrame, vocabulary: int) -> DataFrame:
+    """(chunk, key, background, target) for each distinct bigram of each chunk: how often it occurs there in all documents, and in those of the target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,10 +116,8 @@ def pairs(coded: DataFrame, target: DataFrame, vocabulary: int) -> DataFrame:
                         names=["chunk", "key", "background", "target"],
                     )
 
-    small_batches(spark, 1)
-    out = stored(marked.mapInArrow(run, "chunk long, key long, background long, target long"), "bigrams")
-    small_batches(spark)
-    return out
+    small_batches(given.sparkSession)
+    return stored(given.select("chunk", "sizes", "ids", "places").mapInArrow(run, "chunk long, key long, background long, target long"), "bigrams")
 
 
 @dataclass
@@ -123,11 +127,23 @@ class Model:
     one: np.ndarray
     context: np.ndarray
 
-    def bits(self, key: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Loss in bits of each bigram (a key as ``keys`` gives it), given its exact count."""
+    def bits(self, key: np.ndarray, two: np.ndarray, own: tuple = (0, 0, 0, 0)) -> np.ndarray:
+        """Loss in bits of each bigram (a key as ``keys`` gives it), given its exact count.
+
+        ``own``: what to take out first, of the bigram, of its context, of its token, and of all tokens. The bigram's
+        share of its context backs off to the token's share of all, and that to an even one, so that the probabilities of
+        all tokens after a context sum to 1.
+        """
         before, ids = key >> 16, key & 0xFFFF
-        one = (self.one[ids] + FLAT) / (self.one.sum() + FLAT * len(self.one))
-        return -np.log2((two + PRIOR * one) / (self.context[before] + PRIOR))
+        left = lambda all_, mine: np.maximum(all_ - mine, 0)
+        one = (left(self.one[ids], own[2]) + FLAT) / (left(self.one.sum(), own[3]) + FLAT * len(self.one))
+        return -np.log2((left(two, own[0]) + PRIOR * one) / (left(self.context[before], own[1]) + PRIOR))
+
+
+def repeats(doc: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """How often each value of ``part`` occurs in its document."""
+    _, at, n = np.unique(doc.astype(np.int64) << 32 | part.astype(np.int64), return_inverse=True, return_counts=True)
+    return n[at]
 
 
 def singles(counts: DataFrame, vocabulary: int) -> tuple[Model, Model, float]:
@@ -146,55 +162,69 @@ def singles(counts: DataFrame, vocabulary: int) -> tuple[Model, Model, float]:
     return Model(one[0], context[0]), Model(one[1] * scale, context[1] * scale), scale
 
 
-def score(coded: DataFrame, counted: DataFrame, models: tuple[Model, Model, float], vocabulary: int) -> DataFrame:
-    """Per document: n_tokens, target_bits and background_bits (mean loss a token), score (their difference); null without tokens.
+def score(given: DataFrame, counted: DataFrame, models: tuple[Model, Model, float], vocabulary: int) -> DataFrame:
+    """Per document of the ``marked`` chunks: n_tokens, target_bits and background_bits (mean loss a token), score (their difference); null without tokens.
 
     ``counted`` has (chunk, key, background, target), with the corpus's counts, for every bigram of each chunk.
     """
-    spark = coded.sparkSession
-    given = spark.sparkContext.broadcast(models)
+    spark = given.sparkSession
+    shared = spark.sparkContext.broadcast(models)
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_bits", pa.float64()), ("background_bits", pa.float64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        target, background, scale = given.value
+        target, background, scale = shared.value
         cell = right["key"].to_numpy()
         order = np.argsort(cell)
-        cell = cell[order]
-        losses = (target.bits(cell, right["target"].to_numpy()[order]), background.bits(cell, right["background"].to_numpy()[order] * scale))
+        cell, two_target, two_all = cell[order].astype(np.uint32), right["target"].to_numpy()[order], right["background"].to_numpy()[order]
         parts = []
         for i in range(left.num_rows):
-            size = np.array(left["sizes"][i].as_py(), dtype=np.int64)
-            at = np.searchsorted(cell.astype(np.uint32), keys(np.frombuffer(left["ids"][i].as_py(), dtype=np.uint16), size, vocabulary))
-            end, none, means = np.cumsum(size), size == 0, []
-            for loss in losses:
-                total = np.r_[0.0, np.cumsum(loss[at])]
-                means.append((total[end] - total[end - size]) / np.maximum(size, 1))
-            parts.append(pa.Table.from_arrays([pa.array(left["doc_ids"][i].as_py(), pa.int64()), pa.array(size), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], schema=out))
+            names, sizes = left["doc_ids"][i].as_py(), np.array(left["sizes"][i].as_py(), dtype=np.int64)
+            key_ = keys(np.frombuffer(left["ids"][i].as_py(), dtype=np.uint16), sizes, vocabulary)
+            chosen = np.zeros(len(sizes), dtype=bool)
+            chosen[left["places"][i].as_py() or []] = True
+            stop, a = np.cumsum(sizes), 0
+            while a < len(sizes):
+                before = stop[a] - sizes[a]
+                b = max(a + 1, int(np.searchsorted(stop, before + SLICE, side="right")))
+                size, key = sizes[a:b], key_[before : stop[b - 1]].astype(np.int64)
+                doc = np.repeat(np.arange(b - a), size)
+                at = np.searchsorted(cell, key.astype(np.uint32))
+                own = np.stack([repeats(doc, key), repeats(doc, key >> 16), repeats(doc, key & 0xFFFF), size[doc]]) if len(key) else np.zeros((4, 0))
+                mine = own * chosen[a:b][doc]
+                end, none, means = np.cumsum(size), size == 0, []
+                for loss in (target.bits(key, two_target[at], tuple(mine)), background.bits(key, two_all[at] * scale, tuple(own * scale))):
+                    total = np.r_[0.0, np.cumsum(loss)]
+                    means.append((total[end] - total[end - size]) / np.maximum(size, 1))
+                parts.append(pa.Table.from_arrays([pa.array(names[a:b], pa.int64()), pa.array(size), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], schema=out))
+                a = b
         return pa.concat_tables(parts) if parts else out.empty_table()
 
     small_batches(spark, PAIRS)
-    return coded.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")
+    return given.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, tokenizer: str) -> DataFrame:
     """Score every document (doc_id, text) against the documents whose doc_id is in ``target``.
 
     Counts cover all tokens of all documents. A null or empty text has no tokens, and null losses and score; repeated
-    doc_ids are rows of their own, and all in the target if their id is; a null id never is. Without any target tokens
-    the target model is the uniform one. Other columns are ignored; an empty table gives no rows.
+    doc_ids are rows of their own, and all in the target if their id is; a null id never is. Each row is scored by the
+    counts of all rows but itself. Without any target tokens the target model is the uniform one. Other columns are
+    ignored; an empty table gives no rows.
     """
     from tokenizers import Tokenizer
 
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     coded = chunks(docs, tokenizer)
-    found = pairs(coded, target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), vocabulary)
+    given = marked(coded, target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    found = pairs(given, vocabulary)
     counts = stored(found.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "bigram-counts")
     # one way at every size: the table of bigrams grows with the corpus
     counted = found.select("chunk", "key").join(counts.hint("merge"), "key")
-    return score(coded, counted, singles(counts, vocabulary), vocabulary)
+    return score(given, counted, singles(counts, vocabulary), vocabulary)
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, target_bits, background_bits, score of every document; the target is the documents of quality 1."""
     import public_tokenizers
 
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
