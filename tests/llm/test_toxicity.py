@@ -43,8 +43,49 @@ def test_gradients_equal_finite_differences():
             assert abs((high - low) / (2 * e) - g[at]) < 1e-3 + 1e-2 * abs(g[at]), k
 
 
+def plain_logit(net, words):
+    """The net by plain loops over the words of one window."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    vectors = []
+    for w in words:
+        b, g, _ = X.word_inputs([w])
+        vectors.append(p["ew"][b[0]] + (sum(p["eg"][k] for k in g) / len(g) if len(g) else 0))
+    h = X.HIDDEN
+    states = {}
+    for d, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+        s = np.zeros(h)
+        for t in order:
+            x, y = vectors[t] @ p["w" + d] + p["v" + d], s @ p["u" + d]
+            z, r = sig(x[:h] + y[:h]), sig(x[h : 2 * h] + y[h : 2 * h])
+            s = (1 - z) * np.tanh(x[2 * h :] + r * y[2 * h :]) + z * s
+            states[d, t] = s
+    both = [np.r_[states["f", t], states["b", t]] for t in range(len(words))]
+    e = np.array([np.exp(v @ p["a"]) for v in both])
+    pooled = sum((k / e.sum() * v for k, v in zip(e, both)), np.zeros(2 * h))
+    return float(pooled @ p["o"] + p["c"][0])
+
+
+def test_scores_equal_plain_loops_over_all_windows():
+    net = X.fit([t for _, t, _ in corpus(60)], np.array([y for *_, y in corpus(60)]), epochs=1)
+    texts = ["", "fool", "Ka lo, fool! zaxka", " ".join(f"ka{'lo' * (k % 4)}" for k in range(150)), "mi " * 64, "sa " * 65]
+    want = []
+    for t in texts:
+        w = X.words_of(t)
+        starts = [*range(0, max(1, len(w) - X.WINDOW), X.STEP), max(0, len(w) - X.WINDOW)]
+        want.append(max(plain_logit(net, w[s : s + X.WINDOW]) for s in starts))
+    assert np.allclose(X.Scorer(net).logits(texts), want, atol=1e-4)
+
+
+def test_a_passage_of_half_a_window_lies_whole_in_one():
+    for n in (64, 65, 97, 300):
+        _, start, size = X.windows_of(np.array([n]))
+        k = X.WINDOW - X.STEP
+        assert all(any(s <= a and a + k <= s + m for s, m in zip(start, size)) for a in range(n - k + 1))
+
+
 def test_windows_cover_every_word():
-    sizes = np.array([0, 1, 64, 65, 200, 48 * 3 + 64])
+    sizes = np.array([0, 1, 64, 65, 200, X.STEP * 3 + 64])
     text, start, size = X.windows_of(sizes)
     for i, n in enumerate(sizes):
         base = sizes[:i].sum()
@@ -72,5 +113,5 @@ def test_odd_inputs(spark):
     assert len(got) == 5 and all(np.isfinite(r.score) for r in got)
     assert X.score(spark.createDataFrame([], "doc_id long, text string"), net).count() == 0
     one = X.Scorer(net).logits(["ka lo " * 300])
-    alone = max(X.Scorer(net).logits([" ".join(("ka lo " * 300).split()[s : s + 64])])[0] for s in [*range(0, 576 - 40, 48), 600 - 64])
+    alone = max(X.Scorer(net).logits([" ".join(("ka lo " * 300).split()[s : s + 64])])[0] for s in [*range(0, 600 - 64, X.STEP), 600 - 64])
     assert abs(one[0] - alone) < 1e-4

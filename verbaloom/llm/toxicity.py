@@ -24,10 +24,10 @@ from .langid import ngram_hash, word_codes
 from .sample import draw
 
 _WORD = re.compile(r"[^\W\d_]+")
-WINDOW, STEP = 64, 48
+WINDOW, STEP = 64, 32
 WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 14, 12, 8
 #: Bounds of the training sample: documents of each label, and characters in one of them.
-TRAIN_DOCS, TRAIN_CHARS = 1000, 10_000
+TRAIN_DOCS, TRAIN_CHARS = 2500, 10_000
 CACHE_WORDS = 150_000
 #: Training goes on for so many steps at least, however few the texts.
 LEAST_STEPS = 200
@@ -322,7 +322,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_chars
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """Per document (doc_id, text): score in 0 to 1, the largest of all its windows, and predicted (score >= 0.5).
 
-    A null or empty text is one empty window. Null and repeated doc_ids are rows like any other.
+    Windows of WINDOW words start every STEP words, so any passage of WINDOW - STEP words or fewer lies whole in one. A
+    null or empty text is one empty window. Null and repeated doc_ids are rows like any other; other columns are ignored;
+    an empty table gives no rows. A score of exactly 0.5 is predicted 1.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -341,7 +343,8 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
 def drop_toxic(docs: DataFrame, net: Net) -> DataFrame:
     """The documents, with all their columns, that ``score`` does not predict to be toxic; nothing is shuffled.
 
-    A null or empty text is scored as one empty window. Rows with null or repeated doc_ids are documents like any other.
+    A null or empty text is scored as one empty window. Rows with null or repeated doc_ids are documents like any other;
+    an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -357,6 +360,7 @@ def drop_toxic(docs: DataFrame, net: Net) -> DataFrame:
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; labels of held-out documents are not read."""
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
     return score(docs, train(docs, labels)).withColumn("held_out", fold("doc_id", 5) == 0).select("doc_id", "held_out", "score", "predicted")
