@@ -34,6 +34,54 @@ def test_arrays_equal_plain_recursion_and_probabilities_sum_to_one():
         assert math.isclose(sum(math.exp(L.log_prob(model, s + c, len(s), m.alphabet)) for c in letters), 1, rel_tol=1e-9)
 
 
+def slow_kneser_ney(words, n, history, c, alphabet):
+    """P(c | history) by the textbook's recursion, every count taken anew from the list of padded words."""
+    text = [L.MARK + w + L.MARK for w, k in words.items() for _ in range(k)]
+
+    def count(g):
+        """How often g occurs (not as a mere start mark), for the highest order and for starts of words; else how many characters come before it."""
+        raw = sum(s[i : i + len(g)] == g for s in text for i in range(0 if len(g) > 1 else 1, len(s)))
+        if len(g) == L.ORDER or (g[0] == L.MARK and len(g) > 1):
+            return raw
+        return len({s[i - 1] for s in text for i in range(1, len(s)) if s[i : i + len(g)] == g and (len(g) > 1 or i > 0)}) if raw else 0
+
+    order = len(history) + 1
+    grams = {s[i : i + order] for s in text for i in range(0 if order > 1 else 1, len(s) - order + 1)}
+    counts = {g: count(g) for g in grams}
+    once, twice = (sum(v == k for v in counts.values()) for k in (1, 2))
+    d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.05
+    lower = slow_kneser_ney(words, n, history[1:], c, alphabet) if history else 1 / alphabet
+    mine = {g: k for g, k in counts.items() if g[:-1] == history}
+    if not mine:
+        return lower
+    total = sum(mine.values())
+    return max(mine.get(history + c, 0) - d, 0) / total + d * len(mine) / total * lower
+
+
+def test_probabilities_equal_counts_by_hand():
+    words = Counter("the the than then they hat hats cat".split())
+    model = L.kneser_ney(words, 12)
+    for s in (L.MARK + "the" + L.MARK, L.MARK + "hatz" + L.MARK, L.MARK + "nthe"):
+        for i in range(1, len(s)):
+            history = s[max(0, i - L.ORDER + 1) : i]
+            assert math.isclose(math.exp(L.log_prob(model, s, i, 12)), slow_kneser_ney(words, L.ORDER, history, s[i], 12), rel_tol=1e-9), (s, i)
+
+
+def test_rejection_is_calibrated_on_rows_that_gave_no_counts():
+    rows = texts(300)
+    m = L.fit(rows)
+    held = [(t, g) for k, (t, g) in enumerate(rows) if k % 5 == 0]
+    sums, _ = L.Scorer(m).texts([t for t, _ in held])
+    at, share, bits = L.posterior(m, sums)
+    right = np.array([m.langs[a] == g for a, (_, g) in zip(at, held)])
+    assert right[share >= m.accept].mean() >= 0.999
+    # the least such threshold: with the next row the accepted ones would fall below
+    order = np.sort(share)[::-1]
+    below = order[order < m.accept]
+    assert not len(below) or right[share >= below[0]].mean() < 0.999
+    assert math.isclose(m.most_bits, np.quantile(bits, 0.999) * 1.5)
+
+
 def test_scores_are_held_out_right(spark):
     rows = [(i, t, g) for i, (t, g) in enumerate(texts(240))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

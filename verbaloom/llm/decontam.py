@@ -158,7 +158,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     """(doc_id, item_id, distance, end) for every test item that occurs in a document (doc_id, text) within its edits.
 
     One row a document row and item, with the least distance; an item of m normalised characters allows int(rate * m)
-    edits. Null and empty texts and items match nothing; a null item_id is -1; repeated items count once.
+    edits, so one of under 1 / rate must occur exactly. An item may begin and end inside a word. Null and empty texts and
+    items match nothing; a null item_id is -1; repeated items count once; other columns are ignored; an empty table of
+    either gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -199,4 +201,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, distance, end of every benchmark item in every document."""
     return matches(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -257,7 +257,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     """Per document (doc_id, text): lang_pred, score (0 to 1), bits_per_char, rejected.
 
     `und` with score 0, null bits and rejected if the text is null or has no letter. Ties go to the first language by
-    name. Null and repeated doc_ids are rows like any other.
+    name. Null and repeated doc_ids are rows like any other; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -278,6 +278,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, bits_per_char, rejected of every document; held-out rows are not learned from."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     models = train(docs.where(fold("doc_id", 4) != 2))
     return identify(docs, models).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")

@@ -138,7 +138,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pack documents (doc_id, text; more columns are ignored) into sequences of at most ``capacity`` tokens.
 
-    One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. An empty table gives no rows.
+    One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is its end token
+    alone; rows with null or repeated doc_ids are documents like any other. Which of several pieces of one length goes
+    where is settled by their task and their place in it. An empty table gives no rows.
     """
     made = stored(pieces(docs, tokenizer, capacity, end_id), "pieces")
     by_part = made.groupBy("part", "length").agg(F.count("*").alias("n"))
@@ -164,6 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     import public_tokenizers
 
     from .common import documents

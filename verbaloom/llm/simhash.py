@@ -231,6 +231,7 @@ def keep_rows(docs: DataFrame, least: DataFrame) -> DataFrame:
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
     from .common import documents
 
     found = near_duplicates(documents(spark, sf_dir, "doc_id", "text"))

@@ -113,7 +113,7 @@ def count_with_edits(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     Edits apply in order; their positions are characters of the text as it then is, cut to its length, and a null text
     or position of an edit is empty or 0. A null document text is empty; null edits are none. n_reencoded counts the
-    characters of the regions that were encoded again. Other columns are ignored; rows with null or repeated doc_ids
+    characters of the regions that were encoded again: a text without white space is one region, so any edit of it encodes all of it again. Other columns are ignored; rows with null or repeated doc_ids
     are documents like any other; an empty table gives no rows.
     """
     ship(docs.sparkSession)

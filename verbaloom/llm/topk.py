@@ -265,6 +265,7 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int =
 
 
 def op8_exact_top_k(spark, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: ten rows a query, over the whole table."""
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
