@@ -50,11 +50,41 @@ def test_bands_hold_the_recall_and_short_sets_too(monkeypatch):
     assert S.bands(10**9, 0.8)[0].shape > all_.shape
 
 
+def bucket_rows(n, seed, roots):
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 1 << 63, (20, 2), dtype=np.uint64)
+    rows = []
+    for i, (k, at) in enumerate(zip(r.integers(0, 3, n), r.integers(0, 20, n))):
+        fp, more = (int(x) ^ sum(1 << int(b) for b in set(r.integers(0, 62, 6))) for x in base[at])
+        rows.append((int(k), int(S.gray_rank(np.array([fp], np.uint64)).view(np.int64)[0]), i, more, i if i % 7 == 0 else roots(i), fp))
+    return rows
+
+
+def near_rows(rows):
+    return {(a[2], b[2]) for a in rows for b in rows if a[2] < b[2] and a[0] == b[0] and (a[5] ^ b[5]).bit_count() <= S.radius(0.8, 64) and (a[5] ^ b[5]).bit_count() + (a[3] ^ b[3]).bit_count() <= S.radius(0.8, 128)}
+
+
 def test_large_buckets_are_dealt_in_parts(spark, monkeypatch):
     monkeypatch.setattr(S, "PART", 10)
-    r = np.random.default_rng(3)
-    fp = r.integers(0, 1 << 20, 300)
-    rows = [(int(k % 3), int(f), n, int(f), n if n % 7 == 0 else 1) for n, (k, f) in enumerate(zip(r.integers(0, 3, 300), fp))]
-    got = {(x.a, x.b) for x in S.across(spark.createDataFrame(rows, "key long, rank long, node long, fp long, root long"), 6).collect()}
-    want = {(a[2], b[2]) for a in rows for b in rows if a[2] < b[2] and a[0] == b[0] and a[4] != b[4] and (a[3] ^ b[3]).bit_count() <= 6}
-    assert got == want
+    rows = bucket_rows(300, 3, lambda i: 1)
+    df = spark.createDataFrame([r[:5] for r in rows], "key long, rank long, node long, more long, root long")
+    root = {r[2]: r[4] for r in rows}
+    want = {(a, b) for a, b in near_rows(rows) if root[a] != root[b]}
+    assert len(want) > 50
+    for large in ([(0, 100), (1, 100)], []):
+        got = {tuple(x) for x in S.across(df, spark.createDataFrame(large, "key long, many long"), 0.8).collect()}
+        assert got == want
+
+
+def test_neighbours_are_near_and_count_large_buckets(spark):
+    rows = bucket_rows(500, 5, lambda i: i)
+    df = spark.createDataFrame([r[:4] for r in rows], "key long, rank long, node long, more long")
+    got = S.neighbours(df, 0.8).collect()
+    pairs = {(x.a, x.b) for x in got if x.many is None}
+    assert len(pairs) > 100 and pairs <= near_rows(rows) | {(a, b) for a, b in pairs if (rows[a][5] ^ rows[b][5]).bit_count() > S.radius(0.8, 64)}
+    total = {}
+    for x in got:
+        if x.many is not None:
+            total[x.a] = total.get(x.a, 0) + x.many
+    true = {k: sum(r[0] == k for r in rows) for k in range(3)}
+    assert all(total[k] == true[k] for k in total) and total

@@ -64,9 +64,9 @@ def differing(similarity: float) -> float:
 
 
 def radius(similarity: float, bits: int) -> int:
-    """Bits that may differ: five standard deviations over the average, and a quarter more as halves of small sets are coarse."""
-    p = differing(similarity)
-    return min(bits, ceil(1.25 * bits * p + 5 * (bits * p * (1 - p)) ** 0.5))
+    """Bits that may differ: four standard deviations over the average, or three over that of small sets, whichever is more."""
+    over = lambda p, k: ceil(bits * p + k * (bits * p * (1 - p)) ** 0.5)
+    return min(bits, max(over(differing(similarity), 4), over(max(differing(similarity), COARSE), 3)))
 
 
 def bands(n: int, similarity: float) -> tuple[np.ndarray, int]:
@@ -99,8 +99,13 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return given.mapInArrow(make, "doc_id long, text_hash long, node long, n long, wide binary")
 
 
+def gray_word(rank: np.ndarray) -> np.ndarray:
+    """The 64-bit word at a place in the reflected Gray sequence."""
+    return rank ^ (rank >> np.uint64(1))
+
+
 def members(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, rank, node, fp): each set once a band; key names the band and its bits, fp is the fingerprint's first word, rank its place in Gray order."""
+    """(key, rank, node, more): each set once a band; key names the band and its bits, rank is the place of the fingerprint's first word in Gray order, more its second word."""
     spark = sets.sparkSession
     places, number = bands(sets.count(), similarity)
     weight = np.uint64(1) << np.arange(places.shape[1], dtype=np.uint64)
@@ -111,81 +116,98 @@ def members(sets: DataFrame, similarity: float) -> DataFrame:
                 continue
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
             bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
-            fp, node = wide[:, 0], batch.column(0)
-            rank = pa.array(gray_rank(fp).view(np.int64))
+            node, rank, more = batch.column(0).to_numpy(), gray_rank(wide[:, 0]).view(np.int64), wide[:, 1].view(np.int64)
             small = batch.column(2).to_numpy() <= SMALL
             for t, at in enumerate(places):
                 if t == number:
-                    bits, fp, node, rank = bits[small], fp[small], node.filter(pa.array(small)), rank.filter(pa.array(small))
+                    bits, node, rank, more = bits[small], node[small], rank[small], more[small]
                 key = bits[:, at] @ weight ^ np.uint64(t) << np.uint64(48)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.uint64).view(np.int64)), rank, node, pa.array(fp.view(np.int64))], names=["key", "rank", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.astype(np.uint64).view(np.int64), rank, node, more)], names=["key", "rank", "node", "more"])
 
     small_batches(spark, 8192)
-    return sets.select("node", "wide", "n").mapInArrow(run, "key long, rank long, node long, fp long")
+    return sets.select("node", "wide", "n").mapInArrow(run, "key long, rank long, node long, more long")
 
 
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("many", pa.int64())])
 
 
 def pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=PAIR)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], schema=PAIR)
 
 
-def neighbours(rows: DataFrame, distance: int) -> DataFrame:
-    """(a, b): members of a bucket that follow one another in Gray order, or its first, within the distance. A task streams its rows, however large a bucket is."""
+def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, many): members of a bucket that follow one another in Gray order, or its first, and are near by two words.
+
+    A task streams its rows, and a large bucket may lie in several tasks. Rows with ``many`` are counts instead: of the
+    bucket with key a, the members in one task, where they are over PART or the bucket may go on in another task.
+    """
+    most = radius(similarity, 128)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = first = None
+        count, begun = 0, True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node, fp = (batch.column(k).to_numpy().astype(np.int64) for k in (0, 2, 3))
-            if last is not None:
-                key, node, fp = (np.r_[x, y, z] for x, y, z in zip(first, last, (key, node, fp)))
+            key, rank, node, more = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
+            own = (key, gray_word(rank.view(np.uint64)), node, more.view(np.uint64))
+            old = 0 if last is None else 2
+            if old:
+                own = tuple(np.r_[x, y, z] for x, y, z in zip(first, last, own))
+            key, fp, node, more = own
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             lead = np.repeat(new, np.diff(np.r_[new, len(key)]))
             for other in (lead, np.maximum(np.arange(len(key)) - 1, 0)):
-                near = (key == key[other]) & (node != node[other]) & (np.bitwise_count((fp ^ fp[other]).view(np.uint64)) <= distance)
+                near = (key == key[other]) & (node != node[other]) & (np.bitwise_count(fp ^ fp[other]) + np.bitwise_count(more ^ more[other]) <= most)
                 yield pairs_batch(node[near], node[other[near]])
-            last = tuple(x[-1:] for x in (key, node, fp))
-            first = tuple(x[lead[-1] : lead[-1] + 1] for x in (key, node, fp))
+            sizes = np.diff(np.r_[new, len(key)])
+            sizes[0] += count - old
+            for k, n in zip(new[:-1].tolist(), sizes[:-1].tolist()):
+                if n > PART or begun:
+                    yield pa.RecordBatch.from_arrays([pa.array([key[k]]), pa.array([0], pa.int64()), pa.array([n], pa.int64())], schema=PAIR)
+                begun = False
+            count = int(sizes[-1])
+            last = tuple(x[-1:] for x in own)
+            first = tuple(x[lead[-1] : lead[-1] + 1] for x in own)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array([0], pa.int64()), pa.array([count], pa.int64())], schema=PAIR)
 
-    return rows.repartitionByRange("key", "rank").sortWithinPartitions("key", "rank").mapInArrow(run, "a long, b long")
+    return rows.repartitionByRange("key", "rank").sortWithinPartitions("key", "rank").mapInArrow(run, "a long, b long, many long")
 
 
-def across(rows: DataFrame, distance: int) -> DataFrame:
-    """(a, b): members of a bucket (key, rank, node, fp, root) within the distance and of different roots.
+def across(rows: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): members of a bucket (key, rank, node, more, root) that are near by two words and of different roots.
 
-    Of a bucket over PART members, those of its commonest root are dealt to parts, and the others go to every part.
+    Of the buckets in ``large`` (key, many), the members of the commonest root are dealt to parts, and the others go to every part.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "many")
-    open_ = stored(rows.join(sizes, "key"), "open-bands")
-    large = open_.where(F.col("many") > PART).groupBy("key").agg(F.mode("root").alias("common"))
+    most, first = radius(similarity, 128), radius(similarity, 64)
+    common = rows.join(large, "key").groupBy("key").agg(F.mode("root").alias("common"), F.max("many").alias("many"))
     parts = F.ceil(F.col("many") / PART).cast("int")
-    dealt = open_.join(large, "key", "left").withColumn("cells", F.when(F.col("common").isNull(), F.array(F.lit(0))).when(F.col("root") == F.col("common"), F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1)))
-    cells = dealt.select("key", F.explode("cells").alias("cell"), "rank", "node", "fp", "root")
+    dealt = rows.join(stored(common, "large-buckets"), "key", "left").withColumn("cells", F.when(F.col("common").isNull(), F.array(F.lit(0))).when(F.col("root") == F.col("common"), F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1)))
+    cells = dealt.select("key", F.explode("cells").alias("cell"), "rank", "node", "more", "root")
 
     def found(rows: np.ndarray) -> pa.RecordBatch:
-        key, node, fp, root = rows[:, :2], rows[:, 3], np.ascontiguousarray(rows[:, 4]).view(np.uint64), rows[:, 5]
+        key, node, root = rows[:, :2], rows[:, 3], rows[:, 5]
+        fp, more = gray_word(np.ascontiguousarray(rows[:, 2]).view(np.uint64)), np.ascontiguousarray(rows[:, 4]).view(np.uint64)
         group = np.cumsum(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         index = GrayIndex(fp, group)
         # only members that are not of their group's commonest root search: each pair across roots has such a one
         _, kind = np.unique(np.stack([group, root], axis=1), axis=0, return_inverse=True)
         times = np.bincount(kind)[kind]
-        most = np.maximum.reduceat(times, np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))[group - 1]
+        top = np.maximum.reduceat(times, np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))[group - 1]
         lead = np.zeros(group[-1] + 1, dtype=np.int64)
-        lead[group[times == most]] = kind[times == most]
+        lead[group[times == top]] = kind[times == top]
         ask = np.flatnonzero(kind != lead[group])
         out_a, out_b = [], []
         for a in range(0, len(ask), 20_000):
             mine = ask[a : a + 20_000]
-            q, r = index.within(fp[mine], index.root[mine], distance)
+            q, r = index.within(fp[mine], index.root[mine], first)
             q = mine[q]
-            keep = root[q] != root[r]
+            keep = (root[q] != root[r]) & (np.bitwise_count(fp[q] ^ fp[r]) + np.bitwise_count(more[q] ^ more[r]) <= most)
             out_a.append(node[q[keep]])
             out_b.append(node[r[keep]])
         none = np.zeros(0, np.int64)
-        return pairs_batch(np.concatenate([none, *out_a]), np.concatenate([none, *out_b]))
+        return pairs_batch(np.concatenate([none, *out_a]), np.concatenate([none, *out_b])).select(["a", "b"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -254,12 +276,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> t
     made = stored(sketches(docs, shingle), "sketches")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     sets = stored(made.groupBy("node").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("wide").alias("wide")), "shingle-sets")
-    rows = stored(members(sets.where("n > 0"), similarity), "band-members")
-    distance = radius(similarity, 64)
-    near = verified(likely(neighbours(rows, distance), sets, similarity), docs, sets, shingle, similarity)
+    rows = members(sets.where("n > 0"), similarity)
+    close = stored(neighbours(rows, similarity), "neighbours")
+    near = verified(likely(close.where("many is null").select("a", "b"), sets, similarity), docs, sets, shingle, similarity)
     roots = stored(connected_components(near), "roots")
-    placed = rows.join(roots, "node", "left").select("key", "rank", "node", "fp", F.coalesce("root", "node").alias("root"))
-    more = verified(likely(across(placed, distance), sets, similarity), docs, sets, shingle, similarity)
+    placed = rows.join(roots, "node", "left").select("key", "rank", "node", "more", F.coalesce("root", "node").alias("root"))
+    large = stored(close.where("many is not null").groupBy(F.col("a").alias("key")).agg(F.sum("many").alias("many")).where(F.col("many") > PART), "large-keys")
+    more = verified(likely(across(placed, large, similarity), sets, similarity), docs, sets, shingle, similarity)
     return sets, connected_components(near.union(more))
 
 
