@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +46,16 @@ def erfc(x: np.ndarray) -> np.ndarray:
 def exact_p_value(g2: Column) -> Column:
     """Tail of chi-square with one degree of freedom, in whole Arrow batches as Spark has no error function; a null stays null."""
 
-    @F.pandas_udf("double")
-    def tail(x: pd.Series) -> pd.Series:
+    # here, as the module must import where pandas cannot
+    import pandas as pd
+
+    def tail(x):
         v = x.to_numpy(dtype=float, na_value=np.nan)
         return pd.Series(np.where(np.isnan(v), np.nan, erfc(np.sqrt(np.maximum(v, 0) / 2)))).where(x.notna().to_numpy())
 
-    return F.when(g2.isNotNull(), tail(g2))
+    # hints that are written in the function would be looked up among the module's names
+    tail.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.when(g2.isNotNull(), F.pandas_udf(tail, "double")(g2))
 
 
 def g_squared_contingency(o11: Column, o12: Column, o21: Column, o22: Column) -> Column:
