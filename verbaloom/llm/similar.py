@@ -5,8 +5,9 @@ shingles), and buckets are bands of its bits: enough of them that a pair at the
 ``RECALL``. Inside a bucket the Gray-order index of operator 4 finds the members whose first word is near; every such
 pair is verified on the whole shingle sets. So what is linked is exact, and what is missed has a known small chance.
 
-Two rounds keep large groups of copies cheap. The first tries, in each bucket, the neighbours in Gray order alone; what
-they link is one component from then on. The second tries all near pairs of different components.
+Rounds keep large groups of copies cheap. The first tries, in the buckets of few bands, the neighbours in Gray order alone;
+what they link is one component from then on. The next tries the neighbours of all bands, the last all near pairs, both
+of different components only.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WORDS, RECALL = 4, 0.9995
 SMALL, COARSE = 20, 0.1875
 #: Rows that a bucket of unlike texts holds on average, and members of a bucket that are compared at once.
 BUCKET, PART = 64, 4096
+#: Bands whose neighbours are verified and linked before those of all bands are.
+FEW = 6
 _R = np.random.Generator(np.random.PCG64(80))
 FLIP = _R.integers(0, 1 << 64, WORDS, dtype=np.uint64)
 TIMES = _R.integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -270,6 +273,13 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, s
     return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(same, "a long, b long"), "near-copies")
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose nodes have different roots (node, root); a node without one is its own."""
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    both = pairs.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(sets, roots): the distinct shingle sets (node, row, n, wide), row being the least (unnamed, doc_id, text_hash) that
     has the set, and (node, root) of the sets that have a near-copy, directly or through others."""
@@ -277,8 +287,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> t
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     sets = stored(made.groupBy("node").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("wide").alias("wide")), "shingle-sets")
     rows = members(sets.where("n > 0"), similarity)
+    # neighbours in few bands come first: what they link is one component, and no other band's pair inside it is tried
+    few = stored(neighbours(rows.where(F.shiftright("key", 48) < FEW), similarity), "first-neighbours").where("many is null").select("a", "b")
+    begun = verified(likely(few, sets, similarity), docs, sets, shingle, similarity)
+    early = stored(connected_components(begun), "first-roots")
     close = stored(neighbours(rows, similarity), "neighbours")
-    near = verified(likely(close.where("many is null").select("a", "b"), sets, similarity), docs, sets, shingle, similarity)
+    near = begun.union(verified(likely(apart(close.where("many is null").select("a", "b"), early), sets, similarity), docs, sets, shingle, similarity))
     roots = stored(connected_components(near), "roots")
     placed = rows.join(roots, "node", "left").select("key", "rank", "node", "more", F.coalesce("root", "node").alias("root"))
     large = stored(close.where("many is not null").groupBy(F.col("a").alias("key")).agg(F.sum("many").alias("many")).where(F.col("many") > PART), "large-keys")
