@@ -88,3 +88,59 @@ def test_neighbours_are_near_and_count_large_buckets(spark):
             total[x.a] = total.get(x.a, 0) + x.many
     true = {k: sum(r[0] == k for r in rows) for k in range(3)}
     assert all(total[k] == true[k] for k in total) and total
+
+
+def edited(r, n, words, edits):
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(words)]
+    out = []
+    for _ in range(n):
+        new = list(base)
+        for at in r.sample(range(words), r.choice(edits)):
+            new[at] = word()
+        out.append(" ".join(new))
+    return out
+
+
+def brute(sets):
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    return components(len(sets), *np.nonzero(near)), near
+
+
+def test_a_group_of_likenesses_below_the_similarity_makes_no_square_of_pairs(spark, monkeypatch):
+    texts = edited(random.Random(2), 150, 300, [6, 7])
+    assert len(set(brute([grams(t) for t in texts])[0])) > 100
+    made, keep = [], S.stored
+
+    def counted(df, name, *more):
+        out = keep(df, name, *more)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(S, "stored", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert S.keep_one(df).count() == len(set(brute([grams(t) for t in texts])[0]))
+    assert all(n <= 2 * len(texts) for name, n in made if name != "neighbours"), made
+    assert dict(made)["neighbours"] <= 2 * len(texts) * len(S.bands(len(texts), 0.8)[0])
+
+
+def test_links_of_sets_link_what_all_similar_pairs_link():
+    r = random.Random(8)
+    texts = edited(r, 60, 120, [0, 1, 2, 3, 4, 8]) + edited(r, 20, 9, [0, 1]) + ["a b c d e f g h", "a b c d e f g h i"]
+    sets = [S.shingles(t, 5) for t in texts]
+    want, near = brute([set(s.tolist()) for s in sets])
+    yes = np.ones(len(sets), dtype=bool)
+    pairs = S.links_of_sets(sets, yes, yes, np.arange(len(sets)), 0.8)
+    assert all(near[a, b] for a, b in pairs) and len(pairs) == len(sets) - len(set(want.tolist()))
+    assert (components(len(sets), *np.array(pairs).T) == want).all()
+
+
+def test_a_large_group_is_verified_in_cells(spark, monkeypatch):
+    r = random.Random(9)
+    texts = edited(r, 60, 120, [1, 2, 3, 4, 5])
+    want = brute([grams(t) for t in texts])[0]
+    assert 1 < len(set(want.tolist())) < 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string").repartition(3)
+    for most in (7, 25):
+        monkeypatch.setattr(S, "SETS", most)
+        assert sorted(x.doc_id for x in S.keep_one(df).collect()) == sorted(set(want.tolist()))

@@ -2,11 +2,12 @@
 
 At a similarity of 0.8 two SimHashes differ in 15 of 100 bits, so the fingerprint is wide (256 bits, of the distinct
 shingles), and buckets are bands of its bits: enough of them that a pair at the similarity shares one with the chance
-``RECALL``. Inside a bucket the Gray-order index of operator 4 finds the members whose first word is near; every such
-pair is verified on the whole shingle sets. So what is linked is exact, and what is missed has a known small chance.
+``RECALL``. Inside a bucket the Gray-order index of operator 4 finds the members whose fingerprints are near. They are
+linked into groups, and inside a group all pairs are verified on the whole shingle sets. So what is linked is exact, and
+what is missed has a known small chance.
 
-Two rounds keep large groups of copies cheap. The first tries, in each bucket, the neighbours in Gray order alone; what
-they link is one component from then on. The second tries all near pairs of different components.
+No step gives all pairs of a group. The first round tries, in each bucket, the neighbours in Gray order alone; the second
+gives, for the near pairs of different groups, one link a group. The verification gives one link a document that joins.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small_batches, stored, text_groups
+from .common import components, ship, small_batches, stored, text_groups
 from .graph import connected_components
 from .simhash import GrayIndex, gray_rank, keep_rows
 
@@ -29,6 +30,10 @@ WORDS, RECALL = 4, 0.9995
 SMALL, COARSE = 20, 0.1875
 #: Rows that a bucket of unlike texts holds on average, and members of a bucket that are compared at once.
 BUCKET, PART = 64, 4096
+#: Sets of a group, and their shingles, that are verified at once.
+SETS, SHINGLES = 4096, 2_000_000
+#: Further columns that tell members apart: the other words of the fingerprint and the size of the set.
+FURTHER = ("third", "fourth", "n")
 _R = np.random.Generator(np.random.PCG64(80))
 FLIP = _R.integers(0, 1 << 64, WORDS, dtype=np.uint64)
 TIMES = _R.integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -104,11 +109,25 @@ def gray_word(rank: np.ndarray) -> np.ndarray:
     return rank ^ (rank >> np.uint64(1))
 
 
+def near(words: list[np.ndarray], sizes: np.ndarray | None, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether members a and b are near by the first two words and by all, and their sizes (where given) allow the similarity."""
+    ok = np.bitwise_count(words[0][a] ^ words[0][b]) + np.bitwise_count(words[1][a] ^ words[1][b]) <= radius(similarity, 128)
+    if sizes is not None:
+        ok &= np.minimum(sizes[a], sizes[b]) >= np.maximum(sizes[a], sizes[b]) * (similarity - 1e-9)
+    if len(words) > 2:
+        a, b = a[ok], b[ok]
+        ok[ok] = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words) <= radius(similarity, 64 * len(words))
+    return ok
+
+
 def members(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, rank, node, more): each set once a band; key names the band and its bits, rank is the place of the fingerprint's first word in Gray order, more its second word."""
+    """(key, rank, node, more, third, fourth, n), and root if the sets have it: each set once a band; key names the band and
+    its bits, rank is the place of the fingerprint's first word in Gray order, more, third and fourth are its other words."""
     spark = sets.sparkSession
     places, number = bands(sets.count(), similarity)
     weight = np.uint64(1) << np.arange(places.shape[1], dtype=np.uint64)
+    root = [c for c in sets.columns if c == "root"]
+    names = ["key", "rank", "node", "more", *FURTHER, *root]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,16 +135,16 @@ def members(sets: DataFrame, similarity: float) -> DataFrame:
                 continue
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
             bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
-            node, rank, more = batch.column(0).to_numpy(), gray_rank(wide[:, 0]).view(np.int64), wide[:, 1].view(np.int64)
-            small = batch.column(2).to_numpy() <= SMALL
+            cols = [gray_rank(wide[:, 0]), batch.column(0).to_numpy(), *wide[:, 1:].T, *(batch.column(k).to_numpy() for k in range(2, 3 + len(root)))]
+            small = cols[5] <= SMALL
             for t, at in enumerate(places):
                 if t == number:
-                    bits, node, rank, more = bits[small], node[small], rank[small], more[small]
+                    bits, cols = bits[small], [c[small] for c in cols]
                 key = bits[:, at] @ weight ^ np.uint64(t) << np.uint64(48)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.astype(np.uint64).view(np.int64), rank, node, more)], names=["key", "rank", "node", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (key.astype(np.uint64), *cols)], names=names)
 
     small_batches(spark, 8192)
-    return sets.select("node", "wide", "n").mapInArrow(run, "key long, rank long, node long, more long")
+    return sets.select("node", "wide", "n", *root).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("many", pa.int64())])
@@ -136,12 +155,13 @@ def pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, many): members of a bucket that follow one another in Gray order, or its first, and are near by two words.
+    """(a, b, many): members of a bucket that follow one another in Gray order, or its first, and are near by the words given.
 
     A task streams its rows, and a large bucket may lie in several tasks. Rows with ``many`` are counts instead: of the
     bucket with key a, the members in one task, where they are over PART or the bucket may go on in another task.
     """
-    most = radius(similarity, 128)
+    further = [c for c in FURTHER if c in rows.columns]
+    sized = "n" in further
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = first = None
@@ -149,46 +169,54 @@ def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, rank, node, more = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
-            own = (key, gray_word(rank.view(np.uint64)), node, more.view(np.uint64))
+            key, rank, node, *rest = (batch.column(k).to_numpy().astype(np.int64) for k in range(4 + len(further)))
+            own = (key, gray_word(rank.view(np.uint64)), node, *(c.view(np.uint64) for c in rest))
             old = 0 if last is None else 2
             if old:
                 own = tuple(np.r_[x, y, z] for x, y, z in zip(first, last, own))
-            key, fp, node, more = own
+            key, fp, node, *rest = own
+            words, sizes = ([fp, *rest[:-1]], rest[-1]) if sized else ([fp, *rest], None)
+            every = np.arange(len(key))
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             lead = np.repeat(new, np.diff(np.r_[new, len(key)]))
-            for other in (lead, np.maximum(np.arange(len(key)) - 1, 0)):
-                near = (key == key[other]) & (node != node[other]) & (np.bitwise_count(fp ^ fp[other]) + np.bitwise_count(more ^ more[other]) <= most)
-                yield pairs_batch(node[near], node[other[near]])
-            sizes = np.diff(np.r_[new, len(key)])
-            sizes[0] += count - old
-            for k, n in zip(new[:-1].tolist(), sizes[:-1].tolist()):
+            for other in (lead, np.maximum(every - 1, 0)):
+                found = (key == key[other]) & (node != node[other]) & near(words, sizes, every, other, similarity)
+                yield pairs_batch(node[found], node[other[found]])
+            held = np.diff(np.r_[new, len(key)])
+            held[0] += count - old
+            for k, n in zip(new[:-1].tolist(), held[:-1].tolist()):
                 if n > PART or begun:
                     yield pa.RecordBatch.from_arrays([pa.array([key[k]]), pa.array([0], pa.int64()), pa.array([n], pa.int64())], schema=PAIR)
                 begun = False
-            count = int(sizes[-1])
+            count = int(held[-1])
             last = tuple(x[-1:] for x in own)
             first = tuple(x[lead[-1] : lead[-1] + 1] for x in own)
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array([0], pa.int64()), pa.array([count], pa.int64())], schema=PAIR)
 
-    return rows.repartitionByRange("key", "rank").sortWithinPartitions("key", "rank").mapInArrow(run, "a long, b long, many long")
+    return rows.select("key", "rank", "node", "more", *further).repartitionByRange("key", "rank").sortWithinPartitions("key", "rank").mapInArrow(run, "a long, b long, many long")
 
 
-def across(rows: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): members of a bucket (key, rank, node, more, root) that are near by two words and of different roots.
+def across(rows: DataFrame, large: DataFrame, similarity: float, joined: bool = False) -> DataFrame:
+    """(a, b): members of a bucket (key, rank, node, more, root) that are near by the words given and of different roots.
 
+    With ``joined``, the links of those roots instead: each root with the smallest that such pairs join it to among the
+    rows at hand, so there are fewer links than roots.
     Of the buckets in ``large`` (key, many), the members of the commonest root are dealt to parts, and the others go to every part.
     """
-    most, first = radius(similarity, 128), radius(similarity, 64)
+    first = radius(similarity, 64)
+    further = [c for c in FURTHER if c in rows.columns]
+    sized = "n" in further
     common = rows.join(large, "key").groupBy("key").agg(F.mode("root").alias("common"), F.max("many").alias("many"))
     parts = F.ceil(F.col("many") / PART).cast("int")
     dealt = rows.join(stored(common, "large-buckets"), "key", "left").withColumn("cells", F.when(F.col("common").isNull(), F.array(F.lit(0))).when(F.col("root") == F.col("common"), F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1)))
-    cells = dealt.select("key", F.explode("cells").alias("cell"), "rank", "node", "more", "root")
+    cells = dealt.select("key", F.explode("cells").alias("cell"), "rank", "node", "root", "more", *further)
 
     def found(rows: np.ndarray) -> pa.RecordBatch:
-        key, node, root = rows[:, :2], rows[:, 3], rows[:, 5]
-        fp, more = gray_word(np.ascontiguousarray(rows[:, 2]).view(np.uint64)), np.ascontiguousarray(rows[:, 4]).view(np.uint64)
+        key, node, root = rows[:, :2], rows[:, 3], rows[:, 4]
+        fp, *rest = (np.ascontiguousarray(rows[:, k]).view(np.uint64) for k in (2, *range(5, rows.shape[1])))
+        fp = gray_word(fp)
+        words, sizes = ([fp, *rest[:-1]], rest[-1]) if sized else ([fp, *rest], None)
         group = np.cumsum(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         index = GrayIndex(fp, group)
         # only members that are not of their group's commonest root search: each pair across roots has such a one
@@ -203,16 +231,23 @@ def across(rows: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
             mine = ask[a : a + 20_000]
             q, r = index.within(fp[mine], index.root[mine], first)
             q = mine[q]
-            keep = (root[q] != root[r]) & (np.bitwise_count(fp[q] ^ fp[r]) + np.bitwise_count(more[q] ^ more[r]) <= most)
-            out_a.append(node[q[keep]])
-            out_b.append(node[r[keep]])
+            keep = (root[q] != root[r]) & near(words, sizes, q, r, similarity)
+            a_, b_ = (root[q[keep]], root[r[keep]]) if joined else (node[q[keep]], node[r[keep]])
+            out_a.append(a_)
+            out_b.append(b_)
         none = np.zeros(0, np.int64)
-        return pairs_batch(np.concatenate([none, *out_a]), np.concatenate([none, *out_b])).select(["a", "b"])
+        a, b = np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+        if joined:
+            ends, at = np.unique(np.r_[a, b], return_inverse=True)
+            low = components(len(ends), at[: len(a)], at[len(a) :])
+            tied = np.flatnonzero(low != np.arange(len(ends)))
+            a, b = ends[tied], ends[low[tied]]
+        return pairs_batch(a, b).select(["a", "b"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6)], axis=1))
+            held.append(np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6 + len(further))], axis=1))
             if sum(map(len, held)) >= 200_000:
                 rows = np.concatenate(held)
                 cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1))
@@ -226,48 +261,101 @@ def across(rows: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
     return cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "rank").mapInArrow(search, "a long, b long")
 
 
-def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs whose sizes allow the similarity, and whose whole fingerprints are near enough."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity - 1e-9))
-    most = radius(similarity, 64 * WORDS)
+def links_of_sets(sets: list[np.ndarray], ask: np.ndarray, told: np.ndarray, root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (of those that ask with those that are told) that have the similarity, one for each time two roots become one.
+
+    An inverted index holds of each set only so many of its rarest shingles that two similar sets share one of them.
+    """
+    size = np.array([len(s) for s in sets])
+    start = np.r_[0, np.cumsum(size)]
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(often), dtype=np.int64)
+    place[np.argsort(often, kind="stable")] = np.arange(len(often))
+    owner = np.repeat(np.arange(len(sets)), size)
+    ids = place[ids]
+    ids = ids[np.lexsort((ids, owner))]
+    rare = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    kept = np.flatnonzero((np.arange(len(ids)) - start[owner] < rare[owner]) & told[owner])
+    kept = kept[np.argsort(ids[kept], kind="stable")]
+    post, at = owner[kept], np.searchsorted(ids[kept], np.arange(len(often) + 1))
+    _, label = np.unique(root, return_inverse=True)
+    mine, out = np.zeros(len(often), dtype=bool), []
+    for i in np.flatnonzero(ask):
+        own = ids[start[i] : start[i + 1]]
+        j = np.unique(np.concatenate([post[at[k] : at[k + 1]] for k in own[: rare[i]]]))
+        # two that both ask and are told meet once
+        j = j[(label[j] != label[i]) & (np.minimum(size[j], size[i]) >= np.maximum(size[j], size[i]) * (similarity - 1e-9)) & ((j < i) | ~ask[j] | ~told[i])]
+        mine[own] = True
+        for k in j.tolist():
+            if label[k] != label[i]:
+                common = np.count_nonzero(mine[ids[start[k] : start[k + 1]]])
+                if common >= similarity * (size[i] + size[k] - common) - 1e-9:
+                    label[label == label[k]] = label[i]
+                    out.append((int(i), k))
+        mine[own] = False
+    return out
+
+
+def linked(cells: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs inside a cell (group, cell, ask, told, node, root, set) that have the similarity; see ``links_of_sets``."""
+
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        ask, told, node, root, sets = zip(*rows)
+        pairs = links_of_sets([np.frombuffer(s, dtype=np.uint64) for s in sets], np.array(ask), np.array(told), np.array(root), similarity) if len(rows) > 1 else []
+        node = np.array(node, dtype=np.int64)
+        return pairs_batch(*(node[[p[k] for p in pairs]] if pairs else np.zeros(0, np.int64) for k in (0, 1))).select(["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, {}
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, WORDS) for i in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= most))
+            for group, cell, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (group, cell) != last and held:
+                    yield found(list(held.values()))
+                    held = {}
+                last = group, cell
+                # rows with one id and one text made the same set more than once
+                held[tuple(row[:3])] = row
+        if held:
+            yield found(list(held.values()))
+
+    small_batches(cells.sparkSession)
+    return cells.select("group", "cell", "ask", "told", "node", "root", "set").repartition("group", "cell").sortWithinPartitions("group", "cell").mapInArrow(run, "a long, b long")
 
-    return both.select("a", "b", "wide_a", "wide_b").mapInArrow(run, "a long, b long")
 
+def verified(groups: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) inside the groups (node, group) that have the similarity: enough to link what all such pairs link.
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets have the similarity. Only the sets of documents in a pair are made again, from their texts."""
-    pairs = stored(pairs, "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node").select("node", F.coalesce("row.doc_id", F.lit(0)).alias("id"), F.col("row.unnamed").alias("unnamed"), F.col("row.text_hash").alias("hash"))
+    Only the sets of documents in a group are made again, from their texts. A large group is dealt to cells by hash; then
+    all that its commonest component does not hold are compared with all its sets, in cells again.
+    """
+    needed = groups.join(sets, "node").select("node", "group", F.coalesce("row.doc_id", F.lit(0)).alias("id"), F.col("row.unnamed").alias("unnamed"), F.col("row.text_hash").alias("hash"))
     text = F.col("text").cast("string")
     mine = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("unnamed"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_groups(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, shingle).tobytes() for t in texts], pa.binary())], names=["node", "set"])
+            made = [shingles(t, shingle) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "group", "n", "set"])
 
     small_batches(docs.sparkSession)
-    made = stored(mine.join(needed.hint("shuffle_hash"), ["id", "unnamed", "hash"]).select("node", "text").mapInArrow(make, "node long, set binary"), "sets", "none")
-    # rows with one id and one text made the same set more than once
-    one = made.groupBy("node").agg(F.first("set").alias("set"))
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[i].as_py(), dtype=np.uint64) for c in (2, 3))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda x: one.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(same, "a long, b long"), "near-copies")
+    made = stored(mine.join(needed.hint("shuffle_hash"), ["id", "unnamed", "hash"]).select("node", "group", "text").mapInArrow(make, "node long, group long, n long, set binary"), "sets", "none")
+    cells = lambda count, total: F.ceil(F.greatest(F.col(count) / SETS, F.col(total) / SHINGLES)).cast("int")
+    sizes = stored(made.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).withColumn("parts", cells("rows", "total")), "groups")
+    part = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("long")
+    inside = stored(linked(made.join(sizes, "group").withColumns({"cell": part("parts"), "ask": F.lit(True), "told": F.lit(True), "root": F.col("node")}), similarity), "near-copies")
+    large = sizes.where("parts > 1").select("group", "parts")
+    if large.isEmpty():
+        return inside
+    placed = made.join(large, "group").join(connected_components(inside), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = placed.groupBy("group", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    most = F.max(F.struct("rows", "total", "root"))
+    common = roots.groupBy("group").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"), most.alias("most"))
+    rest = common.select("group", F.col("most.root").alias("common"), (F.col("rows") - F.col("most.rows")).alias("rows"), (F.col("total") - F.col("most.total")).alias("total")).where("rows > 0").withColumn("askers", cells("rows", "total"))
+    placed = placed.join(stored(rest.select("group", "common", "askers"), "commonest"), "group")
+    every = lambda of, cell: F.explode(F.transform(F.sequence(F.lit(0), F.col(of) - 1), cell))
+    asking = placed.where("root <> common").withColumns({"ask": F.lit(True), "told": F.lit(False), "cell": every("parts", lambda x: part("askers") * F.col("parts") + x)})
+    telling = placed.withColumns({"ask": F.lit(False), "told": F.lit(True), "cell": every("askers", lambda x: x * F.col("parts") + part("parts"))})
+    return inside.union(stored(linked(asking.unionByName(telling), similarity), "near-copies"))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -276,14 +364,16 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> t
     made = stored(sketches(docs, shingle), "sketches")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     sets = stored(made.groupBy("node").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("wide").alias("wide")), "shingle-sets")
-    rows = members(sets.where("n > 0"), similarity)
-    close = stored(neighbours(rows, similarity), "neighbours")
-    near = verified(likely(close.where("many is null").select("a", "b"), sets, similarity), docs, sets, shingle, similarity)
-    roots = stored(connected_components(near), "roots")
-    placed = rows.join(roots, "node", "left").select("key", "rank", "node", "more", F.coalesce("root", "node").alias("root"))
+    # smaller sets are never similar to another one, even with one shingle more
+    searched = sets.where(F.col("n") >= (F.col("n") + 1) * (similarity - 1e-9))
+    close = stored(neighbours(members(searched, similarity), similarity), "neighbours")
+    links = close.where("many is null").select("a", "b")
+    roots = stored(connected_components(links), "roots")
+    placed = stored(searched.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     large = stored(close.where("many is not null").groupBy(F.col("a").alias("key")).agg(F.sum("many").alias("many")).where(F.col("many") > PART), "large-keys")
-    more = verified(likely(across(placed, large, similarity), sets, similarity), docs, sets, shingle, similarity)
-    return sets, connected_components(near.union(more))
+    more = stored(across(members(placed, similarity), large, similarity, joined=True), "links")
+    groups = stored(connected_components(links.union(more)).withColumnRenamed("root", "group"), "groups")
+    return sets, connected_components(verified(groups, docs, sets, shingle, similarity))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
