@@ -59,3 +59,32 @@ def test_odd_inputs(spark):
     alone = Q.fit(x[:2], np.array([1, 1]))
     assert np.isfinite(alone.scores(x)).all()
     assert Q.rate(spark.createDataFrame([], "doc_id long, text string"), alone).count() == 0
+
+
+def test_the_loss_is_that_of_all_pairs_and_knots_are_quantiles_of_all_rows():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 3)) ** 3
+    y = (x[:, 0] + r.normal(size=400) > 0.5).astype(int)
+    halves = lambda f: [f(x[:150], y[:150]), f(x[150:], y[150:])]
+    model = Q.learn(halves, 3)
+    ranks = np.array([0.0, 79, 200, 399])
+    assert np.allclose(Q.order_statistics(halves, x.min(axis=0), x.max(axis=0), ranks), np.sort(x, axis=0)[ranks.astype(int)].T, atol=1e-7)
+    e = model.expand(x)
+    d = (e[y == 1][:, None] - e[y == 0][None]).reshape(-1, e.shape[1])
+    w = r.normal(size=e.shape[1])
+    (loss, grad), (want, slope) = Q.all_pairs_loss(halves, model, w), Q.pair_loss(w, d)
+    assert abs(loss - want) < 1e-3 * want and np.abs(grad - slope).max() < 2e-3 * np.abs(slope).max()
+    assert np.abs(Q.pair_loss(model.weights, d)[1]).max() < 2e-3
+    s = model.strengths(x)
+    balance = lambda cut: (s[y == 1] >= cut).mean() + (s[y == 0] < cut).mean()
+    assert balance(model.threshold) == max(map(balance, s))
+
+
+def test_every_labelled_document_is_learnt_from(spark, monkeypatch):
+    rows = [(i, "good words here " * (i % 7 + 1) if i % 3 else "### %%% " * (i % 5 + 1)) for i in range(6000)]
+    seen = []
+    learn = Q.learn
+    monkeypatch.setattr(Q, "learn", lambda each, *more: (seen.append(sum(each(lambda x, y: np.array([len(y), y.sum()])))), learn(each, *more))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    Q.train(docs, spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int"), "quality")
+    assert seen[0].tolist() == [6000, 4000]
