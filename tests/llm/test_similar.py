@@ -144,3 +144,20 @@ def test_a_large_group_is_verified_in_cells(spark, monkeypatch):
     for most in (7, 25):
         monkeypatch.setattr(S, "SETS", most)
         assert sorted(x.doc_id for x in S.keep_one(df).collect()) == sorted(set(want.tolist()))
+
+
+def test_a_large_group_has_few_links_a_set(spark, monkeypatch):
+    r, n, counts = np.random.default_rng(7), 1200, {}
+    for size in (n // 2, n):
+        bits = np.tile(r.random(256) < 0.5, (size, 1)) ^ (r.random((size, 256)) < 0.06)
+        rows = [(i + 1, np.packbits(b, bitorder="little").tobytes(), 100) for i, b in enumerate(bits)]
+        df = spark.createDataFrame(rows, "node long, wide binary, n long")
+        S.ship(spark)
+        links = S.stored(S.neighbours(S.members(df, 0.8), 0.8).where("many is null").select("a", "b"), "test-links")
+        counts[size] = links.distinct().count()
+        roots = S.connected_components(links)
+        placed = df.join(roots, "node", "left").selectExpr("node", "wide", "n", "coalesce(root, node) root")
+        more = S.across(S.members(placed, 0.8), spark.createDataFrame([], "key long, many long"), 0.8, joined=True)
+        whole = S.connected_components(roots.selectExpr("node a", "root b").union(more)).collect()
+        assert {x.root for x in whole} == {1} and len(whole) == size
+    assert all(k <= 16 * size for size, k in counts.items()), counts

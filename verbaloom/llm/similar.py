@@ -6,8 +6,9 @@ shingles), and buckets are bands of its bits: enough of them that a pair at the
 linked into groups, and inside a group all pairs are verified on the whole shingle sets. So what is linked is exact, and
 what is missed has a known small chance.
 
-No step gives all pairs of a group. The first round tries, in each bucket, the neighbours in Gray order alone; the second
-gives, for the near pairs of different groups, one link a group. The verification gives one link a document that joins.
+No step gives all pairs of a group. The first round tries, in the buckets of a few bands, the neighbours in Gray order alone:
+that joins most of a large group, with links that are few for each set. The second searches the buckets of all bands and gives,
+for the near pairs of different groups, one link a group. The verification gives one link a document that joins.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WORDS, RECALL = 4, 0.9995
 SMALL, COARSE = 20, 0.1875
 #: Rows that a bucket of unlike texts holds on average, and members of a bucket that are compared at once.
 BUCKET, PART = 64, 4096
+#: Bands in whose buckets neighbours are linked before all bands are searched: a set has twice as many links at most.
+FIRST = 8
 #: Sets of a group, and their shingles, that are verified at once.
 SETS, SHINGLES = 4096, 2_000_000
 #: Further columns that tell members apart: the other words of the fingerprint and the size of the set.
@@ -154,9 +157,12 @@ def pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], schema=PAIR)
 
 
-def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
+def neighbours(rows: DataFrame, similarity: float, first_bands: int = FIRST) -> DataFrame:
     """(a, b, many): members of a bucket that follow one another in Gray order, or its first, and are near by the words given.
 
+    Only buckets of the first bands are looked at: in those of other bands a set of a large group has other neighbours each
+    time, links that join nothing new. What is not joined yet ``across`` joins, in the buckets of all bands.
+
     A task streams its rows, and a large bucket may lie in several tasks. Rows with ``many`` are counts instead: of the
     bucket with key a, the members in one task, where they are over PART or the bucket may go on in another task.
     """
@@ -176,12 +182,12 @@ def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
                 own = tuple(np.r_[x, y, z] for x, y, z in zip(first, last, own))
             key, fp, node, *rest = own
             words, sizes = ([fp, *rest[:-1]], rest[-1]) if sized else ([fp, *rest], None)
-            every = np.arange(len(key))
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             lead = np.repeat(new, np.diff(np.r_[new, len(key)]))
-            for other in (lead, np.maximum(every - 1, 0)):
-                found = (key == key[other]) & (node != node[other]) & near(words, sizes, every, other, similarity)
-                yield pairs_batch(node[found], node[other[found]])
+            mine = np.flatnonzero(key >> 48 < first_bands)
+            for other in (lead[mine], np.maximum(mine - 1, 0)):
+                found = (key[mine] == key[other]) & (node[mine] != node[other]) & near(words, sizes, mine, other, similarity)
+                yield pairs_batch(node[mine[found]], node[other[found]])
             held = np.diff(np.r_[new, len(key)])
             held[0] += count - old
             for k, n in zip(new[:-1].tolist(), held[:-1].tolist()):
@@ -372,7 +378,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> t
     placed = stored(searched.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     large = stored(close.where("many is not null").groupBy(F.col("a").alias("key")).agg(F.sum("many").alias("many")).where(F.col("many") > PART), "large-keys")
     more = stored(across(members(placed, similarity), large, similarity, joined=True), "links")
-    groups = stored(connected_components(links.union(more)).withColumnRenamed("root", "group"), "groups")
+    groups = stored(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)).withColumnRenamed("root", "group"), "groups")
     return sets, connected_components(verified(groups, docs, sets, shingle, similarity))
 
 
