@@ -31,7 +31,7 @@ WORDS, RECALL = 4, 0.9995
 SMALL, COARSE = 20, 0.1875
 #: Rows that a bucket of unlike texts holds on average, and members of a bucket that are compared at once.
 BUCKET, PART = 64, 4096
-#: Bands in whose buckets neighbours are linked before all bands are searched: a set has twice as many links at most.
+#: Bands in whose buckets neighbours are linked before all bands are searched: at most 2 * FIRST links for each set.
 FIRST = 8
 #: Sets of a group, and their shingles, that are verified at once.
 SETS, SHINGLES = 4096, 2_000_000
