@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import oracle
 import pytest
 
@@ -32,3 +33,14 @@ def test_query_equals_sql(spark, con, name):
     got, want, _ = oracle.compare(spark, QUERIES[name], ORACLES[name], DATA, con)
     spark.catalog.clearCache()
     assert got == want
+
+
+@pytest.mark.parametrize("texts", [["It is kept."], [None, "", "No verb here."]])
+def test_cascade_of_empty_stages_equals_sql(spark, tmp_path, texts):
+    """Without patterns, or without rows, a share of nothing is NaN, as in the SQL."""
+    rows = [(k, t, "en") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got, want, _ = oracle.compare(spark, QUERIES["filtering_cascade"], ORACLES["filtering_cascade"], str(tmp_path), own)
+    assert got == want and (0, "nan", "accepted") in got[1]

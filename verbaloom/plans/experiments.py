@@ -245,10 +245,10 @@ def example_semantics(found: DataFrame, top: int = 5) -> DataFrame:
 
 
 def cascade(raw: DataFrame, valid: DataFrame, formulaic: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(stage, n, percent): what is left after each filter; percentages of the stage before, rounded half to even to two decimals."""
+    """(stage, n, percent): what is left after each filter; percentages of the stage before, rounded half to even to two decimals (NaN of an empty stage)."""
     n = lambda df, name: df.agg(F.count("*").cast("double").alias(name))
     # one row each
     all_ = n(raw, "a").join(n(valid, "b")).join(n(formulaic, "c")).join(patterns.agg(F.count("*").cast("double").alias("d"), F.count_if("accepted").cast("double").alias("e")))
-    share = lambda x, y: F.coalesce(F.bround(F.try_divide(F.col(x) * 100.0, F.col(y)), 2), F.lit(0.0))
+    share = lambda x, y: F.coalesce(F.bround(F.try_divide(F.col(x) * 100.0, F.col(y)), 2), F.lit(float("nan")))
     rows = [("total", "a", F.lit(100.0)), ("valid", "b", share("b", "a")), ("formulaic", "c", share("c", "b")), ("patterns", "d", F.lit(None).cast("double")), ("accepted", "e", share("e", "d"))]
     return all_.select(F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(c).cast("long").alias("n"), p.alias("percent")) for s, c, p in rows))).alias("r")).select("r.*")
