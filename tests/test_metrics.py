@@ -175,3 +175,50 @@ def test_histogram_and_jaccard(spark):
     assert tuple(j) == (1.0, 0.0, pytest.approx(1 / 3))
     with pytest.raises(ValueError):
         acceptance.accept(df, "other")
+
+
+def scored_for_cells(spark):
+    rows = rows_for_shuffles(spark, 300).withColumns({"instance_atp": (F.col("row_id").cast("string").substr(-1, 1).cast("int") / 10).cast("double"), "instance_dpb": F.lit(0.2), "instance_hr": F.lit(1.0)})
+    return rows.persist()
+
+
+def test_cells_give_what_the_rows_give(spark):
+    rows = scored_for_cells(spark)
+    full = {r.pattern: r for r in metrics.pattern_metrics(filters.formulaic(rows)).collect()}
+    got = {r.pattern: r for r in experiments.accepted_patterns(experiments.cells(rows)).collect()}
+    assert set(got) == set(full) and all(got[p][c] == pytest.approx(full[p][c], abs=1e-9) for p in full for c in ("n_tokens", "h_slot", "npmi", "g_squared", "p_value"))
+    assert experiments.cells(experiments.cells(rows)).agg(F.sum("_n")).first()[0] == 300
+    both = lambda f: [Counter(f(x).collect()) for x in (rows, experiments.cells(rows))]
+    for f in (experiments.filter_ablation, experiments.layer_members, experiments.sensitivity):
+        one, two = both(f)
+        assert one == two and one
+
+
+@pytest.mark.parametrize("of", [experiments.filter_ablation, experiments.layer_members, experiments.sensitivity])
+def test_acceptance_reads_no_documents(spark, of):
+    """Only dispersion needs documents, and no experiment looks at it."""
+    plan = of(scored_for_cells(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "doc_id" in line]
+
+
+def test_no_task_has_all_rows_of_a_pattern(spark):
+    """Entropies go to the rows, as a pattern may have most of them."""
+    rows = spark.createDataFrame([(k, ["is", "kept"], "a,x", f"w{k % 3}") for k in range(50)], "k long, aux_chain array<string>, pattern string, following_word string")
+    out = statistics.with_instance_metrics(rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join [pattern" in line and "LeftOuter" in line]
+        assert len(joins) == 1 and "BroadcastHashJoin" in joins[0]
+        assert out.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_csv_files_do_not_grow_with_the_table(spark, tmp_path):
+    """Files with quoted lines are read whole, each by one task."""
+    n = sinks.ROWS_A_FILE + 1 if hasattr(sinks, "ROWS_A_FILE") else 200_001
+    sinks.write_constructions(spark.range(n).coalesce(1), f"{tmp_path}/rows")
+    assert len([f for f in os.listdir(f"{tmp_path}/rows") if f.endswith(".csv")]) == 2
+    assert spark.read.option("header", True).csv(f"{tmp_path}/rows").count() == n

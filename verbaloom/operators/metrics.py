@@ -7,12 +7,13 @@ types; only they are windowed over.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+Keep = Callable[[DataFrame], DataFrame]
 NAMES = ["pattern", "n_tokens", "n_docs", "atp", "delta_p", "h_slot", "npmi", "dispersion", "g_squared", "p_value", "p_value_fdr"]
 
 
@@ -94,9 +95,9 @@ def _usable(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def slot_entropy(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, pattern, h_slot): entropy of a pattern's head lemmas (null: ``unknown``)."""
-    counted = _usable(rows, by).groupBy(*by, "pattern", "head_lemma").agg(F.count("*").cast("double").alias("c"))
+def slot_entropy(rows: DataFrame, by: Sequence[str] = (), keep: Keep = lambda df: df) -> DataFrame:
+    """(by, pattern, h_slot): entropy of a pattern's head lemmas (null: ``unknown``). ``keep`` may store their counts."""
+    counted = keep(_usable(rows, by).groupBy(*by, "pattern", "head_lemma").agg(F.count("*").cast("double").alias("c")))
     key = [*by, "pattern"]
     totals = counted.groupBy(*key).agg(F.sum("c").alias("n"))
     q = F.col("c") / F.col("n")
@@ -107,19 +108,19 @@ def by_document(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _usable(rows, by).groupBy(*by, "pattern", "doc_id").agg(F.count("*").alias("n"), F.sum("instance_atp").alias("atp"), F.sum("instance_dpb").alias("dpb"))
 
 
-def summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, pattern, n_tokens, n_docs, atp, delta_p, dispersion).
+def summary(rows: DataFrame, by: Sequence[str] = (), keep: Keep = lambda df: df) -> DataFrame:
+    """(by, pattern, n_tokens, n_docs, atp, delta_p, dispersion). ``keep`` may store the sums by document and by pattern.
 
     A document without a pattern adds its own share to the pattern's dispersion, so only documents with it are read:
     half of (the sum of their differences, plus one, less the sum of their shares).
     """
     key = [*by, "pattern"]
-    docs = by_document(rows, by)
-    patterns = docs.groupBy(*key).agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"), F.sum("atp").alias("atp"), F.sum("dpb").alias("dpb"))
+    docs = keep(by_document(rows, by))
+    patterns = keep(docs.groupBy(*key).agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"), F.sum("atp").alias("atp"), F.sum("dpb").alias("dpb")))
     total = patterns.withColumn("total", F.sum("n_tokens").over(Window.partitionBy(*by)))
     sizes = docs.groupBy(*by, "doc_id").agg(F.sum("n").alias("doc_n"))
     share = F.col("doc_n") / F.col("total").cast("double")
-    parts = docs.select(*key, "doc_id", "n").join(sizes, [*by, "doc_id"]).join(total.select(*key, "n_tokens", "total"), key)
+    parts = docs.select(*key, "doc_id", "n").join(sizes, [*by, "doc_id"]).join(F.broadcast(total.select(*key, "n_tokens", "total")), key)
     spread = parts.groupBy(*key).agg((0.5 * (F.sum(F.abs(F.col("n") / F.col("n_tokens").cast("double") - share)) + 1 - F.sum(share))).alias("dispersion"))
     return patterns.join(spread, key).select(*key, "n_tokens", "n_docs", (F.col("atp") / F.col("n_tokens")).alias("atp"), (F.col("dpb") / F.col("n_tokens")).alias("delta_p"), "dispersion")
 
@@ -147,13 +148,22 @@ def lane_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return association(sums.withColumn("h_slot", F.log2("n_tokens") - F.col("_s") / F.col("n_tokens")).drop("_s"), by)
 
 
-def pattern_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def lane_metrics_of_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """lane_metrics of rows that were counted: (by, pattern, head_lemma, _n, ...). The entropy is summed as in slot_entropy."""
+    key = [*by, "pattern"]
+    counted = cells.groupBy(*by, F.coalesce("pattern", F.lit("")).alias("pattern"), F.coalesce("head_lemma", F.lit("unknown")).alias("head_lemma")).agg(F.sum("_n").alias("c"))
+    q = F.col("c") / F.sum("c").over(Window.partitionBy(*key))
+    shares = counted.withColumn("_q", q)
+    return association(shares.groupBy(*key).agg(F.sum("c").alias("n_tokens"), F.sum(-F.col("_q") * F.log2("_q")).alias("h_slot")), by)
+
+
+def pattern_metrics(rows: DataFrame, by: Sequence[str] = (), keep: Keep = lambda df: df) -> DataFrame:
     """All metrics of all patterns (NAMES, after ``by``) of constructions (pattern; doc_id, head_lemma, instance_atp and instance_dpb if there are any).
 
     Missing documents and lemmas are ``unknown``, missing instance metrics 0; rows without a pattern (null or empty) count in
     totals alone. Empty tables give no rows; other columns
-    are ignored.
+    are ignored. ``keep`` may store the sums that several metrics are made of.
     """
     key = [*by, "pattern"]
-    known = association(summary(rows, by), by)
-    return with_fdr(known.join(slot_entropy(rows, by), key), by).select(*by, *NAMES)
+    known = association(summary(rows, by, keep), by)
+    return with_fdr(known.join(slot_entropy(rows, by, keep), key), by).select(*by, *NAMES)

@@ -6,6 +6,7 @@ out once for each distinct chain: what is shuffled is as large as the number of
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,9 +38,12 @@ def pairs(chain: Column) -> Column:
     return F.filter(made, lambda p: p["w2"].isNotNull())
 
 
-def counts(rows: DataFrame) -> Counts:
-    """Counts over constructions (aux_chain, pattern, following_word). Rows with a null or empty chain count nowhere."""
-    chains = _usable(rows).groupBy(_chain().alias("chain")).agg(F.count("*").alias("n"))
+def counts(rows: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Counts:
+    """Counts over constructions (aux_chain, pattern, following_word). Rows with a null or empty chain count nowhere.
+
+    ``keep`` may store the counts of chains, which several others are made of.
+    """
+    chains = keep(_usable(rows).groupBy(_chain().alias("chain")).agg(F.count("*").alias("n")))
     unigrams = chains.select(F.explode("chain").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     bigrams = chains.select(F.explode(pairs(F.col("chain"))).alias("p"), "n").groupBy("p.w1", "p.w2").agg(F.sum("n").alias("n"))
     said = _usable(rows).where("pattern <> '' and following_word <> ''")
@@ -82,9 +86,14 @@ def boundary_entropy(c: Counts) -> DataFrame:
     return entropy(c.followers, ["pattern"]).withColumnRenamed("entropy", "instance_hr")
 
 
-def with_instance_metrics(rows: DataFrame, c: Counts | None = None) -> DataFrame:
-    """The rows with instance_atp, instance_dpb (0 for chains of under two words) and instance_hr (infinite without followers)."""
-    c = c or counts(rows)
-    out = rows.withColumn("_chain", _chain()).join(chain_metrics(c).withColumnRenamed("chain", "_chain"), "_chain", "left").join(boundary_entropy(c), "pattern", "left")
+def with_instance_metrics(rows: DataFrame, c: Counts | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The rows with instance_atp, instance_dpb (0 for chains of under two words) and instance_hr (infinite without followers).
+
+    ``keep`` may store the metrics of chains and patterns: each is then worked out once, and where it is small, which is
+    known once it is stored, it goes to the rows. Entropies always do, one a pattern, so that no task has a pattern's rows.
+    """
+    c = c or counts(rows, keep)
+    by_chain, by_pattern = keep(chain_metrics(c).withColumnRenamed("chain", "_chain")), keep(boundary_entropy(c))
+    out = rows.withColumn("_chain", _chain()).join(by_chain, "_chain", "left").join(F.broadcast(by_pattern), "pattern", "left")
     zero = {x: F.coalesce(x, F.lit(0.0)) for x in ("instance_atp", "instance_dpb")}
     return out.withColumns(zero | {"instance_hr": F.coalesce("instance_hr", F.lit(float("inf")))}).select(*rows.columns, "instance_atp", "instance_dpb", "instance_hr")

@@ -7,7 +7,7 @@ bucket plus the sizes of the buckets before it: tasks stay even.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,19 +115,30 @@ def _literals(settings: list[dict]) -> Column:
     return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in s.items())) for s in settings))
 
 
+CELL = ["pattern", "head_lemma", "instance_atp", "instance_dpb", "instance_hr"]
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """(CELL, _n): all that instance filters and acceptance look at, counted; instance metrics depend on chain and pattern alone, so there are few.
+
+    Of cells it gives the same cells.
+    """
+    return rows.groupBy(*CELL).agg((F.sum("_n") if "_n" in rows.columns else F.count("*")).alias("_n"))
+
+
 def run_settings(rows: DataFrame, settings: list[dict], keep: list[str]) -> DataFrame:
-    """Pattern metrics and acceptance for each setting (atp, dpb, hr, npmi, h_slot, and the names in ``keep``).
+    """Size, metrics of acceptance and acceptance of each pattern for each setting (atp, dpb, hr, npmi, h_slot, and the names in ``keep``).
 
-    Rows are copied once for each distinct setting of the instance thresholds that they pass, inside their row; settings
-    of the pattern thresholds share those metrics.
+    Cells of the rows, not the rows, are copied once for each distinct setting of the instance thresholds that they pass;
+    settings of the pattern thresholds share those metrics.
     """
     layer1 = ["atp", "dpb", "hr"]
     distinct = [dict(zip(layer1, x)) for x in sorted({tuple(s[k] for k in layer1) for s in settings})]
     passed = F.filter(_literals(distinct), lambda s: filters.layer1_reason(s["atp"], s["dpb"], s["hr"]).isNull())
-    copies = rows.withColumn("_s", F.explode(passed)).select("pattern", "doc_id", "head_lemma", "instance_atp", "instance_dpb", *(F.col(f"_s.{k}").alias(f"_{k}") for k in layer1))
-    found = metrics.pattern_metrics(copies, [f"_{k}" for k in layer1])
+    copies = cells(rows).withColumn("_s", F.explode(passed)).select("pattern", "head_lemma", "_n", *(F.col(f"_s.{k}").alias(f"_{k}") for k in layer1))
+    found = metrics.lane_metrics_of_cells(copies, [f"_{k}" for k in layer1])
     same = F.filter(_literals(settings), lambda s: (s["atp"] == F.col("_atp")) & (s["dpb"] == F.col("_dpb")) & (s["hr"] == F.col("_hr")))
-    by_setting = found.withColumn("_s", F.explode(same)).select(*(F.col(f"_s.{k}").alias(k) for k in keep), F.col("_s.npmi").alias("_npmi"), F.col("_s.h_slot").alias("_h_slot"), *metrics.NAMES)
+    by_setting = found.withColumn("_s", F.explode(same)).select(*(F.col(f"_s.{k}").alias(k) for k in keep), F.col("_s.npmi").alias("_npmi"), F.col("_s.h_slot").alias("_h_slot"), "pattern", "n_tokens", "h_slot", "npmi", "g_squared", "p_value")
     return acceptance.with_lanes(by_setting, npmi=F.col("_npmi"), h_slot=F.col("_h_slot")).drop("_npmi", "_h_slot")
 
 
@@ -162,14 +173,17 @@ def globally_stable(accepted: DataFrame, values: int = 5, params: int = 5) -> Da
     return stable_patterns(accepted, values).groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") == params).select("pattern")
 
 
-def filter_ablation(rows: DataFrame) -> DataFrame:
-    """(config, formulaic_count, schema_count, change_formulaic, change_schemas): one instance filter left out at a time."""
+def filter_ablation(rows: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(config, formulaic_count, schema_count, change_formulaic, change_schemas): one instance filter left out at a time.
+
+    ``keep`` may store the counts, which are read three times.
+    """
     base = {"atp": vocab.ATP, "dpb": vocab.DPB, "hr": vocab.HR, "npmi": vocab.NPMI, "h_slot": vocab.H_SLOT}
     none = {"atp": float("-inf"), "dpb": float("-inf"), "hr": float("inf")}
     settings = [{"config": "full_pipeline", **base}, *({"config": f"no_{k}", **base, k: none[k]} for k in ("atp", "dpb", "hr"))]
     found = run_settings(rows, settings, ["config"]).groupBy("config").agg(F.sum("n_tokens").alias("a"), F.count_if("accepted").alias("b"))
     all_ = rows.sparkSession.createDataFrame([(s["config"],) for s in settings], "config string")
-    out = all_.join(found, "config", "left").select("config", F.coalesce("a", F.lit(0)).alias("formulaic_count"), F.coalesce("b", F.lit(0)).alias("schema_count"))
+    out = keep(all_.join(found, "config", "left").select("config", F.coalesce("a", F.lit(0)).alias("formulaic_count"), F.coalesce("b", F.lit(0)).alias("schema_count")))
     full = out.where("config = 'full_pipeline'")
     less = lambda c: F.col(c) - full.select(c).scalar()
     return out.withColumns({"change_formulaic": less("formulaic_count"), "change_schemas": less("schema_count")})
@@ -190,14 +204,21 @@ def lane_ablation(patterns: DataFrame) -> DataFrame:
 CONFIGS = ["FULL", "NO_LAYER1", "NPMI_ONLY", "H_SLOT_ONLY", "FREQ_ONLY"]
 
 
+def accepted_patterns(rows: DataFrame) -> DataFrame:
+    """The patterns of formulaic rows, or cells, with what acceptance looks at and its outcome."""
+    return acceptance.accept(metrics.lane_metrics_of_cells(cells(filters.formulaic(rows))))
+
+
 def layer_members(rows: DataFrame, least: int = 3) -> DataFrame:
-    """(config, pattern): patterns that each configuration of the layers accepts."""
-    kept = acceptance.with_lanes(metrics.pattern_metrics(filters.formulaic(rows)))
+    """(config, pattern): patterns that each configuration of the layers accepts, from the rows or their cells."""
+    counted = cells(rows)
+    kept = acceptance.with_lanes(metrics.lane_metrics_of_cells(filters.formulaic(counted)))
     tests = {"FULL": F.col("accepted"), "NPMI_ONLY": F.col("npmi_pass"), "H_SLOT_ONLY": F.col("h_slot_pass")}
     passed = F.filter(F.array(*(F.struct(F.lit(k).alias("config"), t.alias("ok")) for k, t in tests.items())), lambda s: s["ok"])
     one = kept.select(F.explode(passed).alias("s"), "pattern").select("s.config", "pattern")
-    two = acceptance.with_lanes(metrics.pattern_metrics(rows)).where("accepted").select(F.lit("NO_LAYER1").alias("config"), "pattern")
-    return one.union(two).union(filters.frequent_patterns(rows, least).select(F.lit("FREQ_ONLY"), "pattern"))
+    two = acceptance.with_lanes(metrics.lane_metrics_of_cells(counted)).where("accepted").select(F.lit("NO_LAYER1").alias("config"), "pattern")
+    often = counted.groupBy("pattern").agg(F.sum("_n").alias("n")).where(F.col("n") >= least)
+    return one.union(two).union(often.select(F.lit("FREQ_ONLY"), "pattern"))
 
 
 def layer_ablation(members: DataFrame) -> DataFrame:

@@ -41,6 +41,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df kept and worked out now, so that a plan over it knows its size and nothing is worked out twice at once."""
+    kept(df).count()
+    return df
+
+
 def releasing(query: Query) -> Query:
     """The query, which first lets go of what earlier ones kept (their results can still be read: they are worked out anew)."""
 
@@ -69,7 +75,12 @@ def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.with_instance_metrics(valid(spark, sf_dir))
+    return statistics.with_instance_metrics(valid(spark, sf_dir), keep=settled)
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of scored rows that filters and acceptance need: a small table, from which all settings are tried."""
+    return settled(experiments.cells(scored(spark, sf_dir)))
 
 
 def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +89,7 @@ def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return acceptance.accept(metrics.pattern_metrics(survivors(spark, sf_dir)))
+    return kept(acceptance.accept(metrics.pattern_metrics(survivors(spark, sf_dir), keep=settled)))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +132,7 @@ def instance_metrics(spark, sf_dir):
 
 
 def layer1_filter(spark, sf_dir):
-    return rounded(survivors(spark, sf_dir).select("row_id", "pattern", "head_lemma", "instance_atp", "instance_dpb", "instance_hr"))
+    return rounded(filters.formulaic(scored(spark, sf_dir)).select("row_id", "pattern", "head_lemma", "instance_atp", "instance_dpb", "instance_hr"))
 
 
 def contingency(spark, sf_dir):
@@ -133,7 +144,7 @@ def contingency(spark, sf_dir):
 
 
 def members(spark, sf_dir):
-    return experiments.layer_members(scored(spark, sf_dir))
+    return kept(experiments.layer_members(cells(spark, sf_dir)))
 
 
 def tam_results(spark, sf_dir):
@@ -145,15 +156,23 @@ def comp_results(spark, sf_dir):
 
 
 def grid(spark, sf_dir):
-    return experiments.sensitivity(scored(spark, sf_dir))
+    return kept(experiments.sensitivity(cells(spark, sf_dir)))
+
+
+def stability(spark, sf_dir):
+    rows = cells(spark, sf_dir)
+    return experiments.pattern_stability(kept(experiments.sensitivity(rows)), experiments.accepted_patterns(rows).where("accepted"))
 
 
-def accepted(spark, sf_dir):
-    return patterns(spark, sf_dir).where("accepted")
+def multi_schema_verbs(spark, sf_dir):
+    rows = cells(spark, sf_dir)
+    mine = experiments.accepted_patterns(rows).where("accepted").select("pattern")
+    return filters.multi_schema_verbs(filters.formulaic(rows).join(mine, "pattern", "left_semi"))
 
 
 def examples(spark, sf_dir):
-    return experiments.examples(survivors(spark, sf_dir), accepted(spark, sf_dir))
+    rows = survivors(spark, sf_dir)
+    return experiments.examples(rows, experiments.accepted_patterns(settled(experiments.cells(rows))).where("accepted"))
 
 
 def _fixture(name: str, *cols: Callable[[], Column]) -> Query:
@@ -171,7 +190,9 @@ def profile(spark, sf_dir):
 
 
 def cascade(spark, sf_dir):
-    return experiments.cascade(raw(spark, sf_dir), valid(spark, sf_dir), survivors(spark, sf_dir), patterns(spark, sf_dir))
+    rows = scored(spark, sf_dir)
+    found = experiments.accepted_patterns(settled(experiments.cells(rows)))
+    return experiments.cascade(raw(spark, sf_dir), rows, filters.formulaic(rows), found)
 
 
 # what is written is read again
@@ -297,8 +318,8 @@ QUERIES: dict[str, Query] = {
     "accepted_venn": lambda s, d: experiments.venn(members(s, d)),
     "layer_ablation": lambda s, d: experiments.layer_ablation(members(s, d)),
     "layer1_ablation": lambda s, d: experiments.layer1_ablation(members(s, d)),
-    "filter_ablation": lambda s, d: experiments.filter_ablation(scored(s, d)),
-    "lane_ablation": lambda s, d: experiments.lane_ablation(metrics.pattern_metrics(survivors(s, d))),
+    "filter_ablation": lambda s, d: experiments.filter_ablation(cells(s, d), settled),
+    "lane_ablation": lambda s, d: experiments.lane_ablation(settled(experiments.accepted_patterns(cells(s, d)))),
     # permutations
     "tam_shuffle": lambda s, d: rounded(tam_results(s, d)),
     "comp_shuffle": lambda s, d: rounded(comp_results(s, d)),
@@ -308,12 +329,12 @@ QUERIES: dict[str, Query] = {
     # sensitivity
     "sensitivity_grid": lambda s, d: experiments.sensitivity_counts(grid(s, d)),
     "stable_schemas": lambda s, d: experiments.stable_patterns(grid(s, d)),
-    "schema_stability": lambda s, d: experiments.pattern_stability(grid(s, d), accepted(s, d)),
+    "schema_stability": stability,
     "globally_stable": lambda s, d: experiments.globally_stable(grid(s, d)),
     # examples
     "examples_topk": lambda s, d: rounded(examples(s, d)),
     "example_semantics": lambda s, d: rounded(experiments.example_semantics(examples(s, d))),
-    "multi_schema_verbs": lambda s, d: filters.multi_schema_verbs(survivors(s, d).join(accepted(s, d).select("pattern"), "pattern", "left_semi")),
+    "multi_schema_verbs": multi_schema_verbs,
     "spatial_schemas": lambda s, d: valid(s, d).groupBy("pattern").agg(F.count("*").alias("n")).withColumn("is_spatial", filters.spatial(F.col("pattern"))),
     # classification and cleaning
     "tam_classifier": _fixture("tam_cases", lambda: classify.tam(_words("surface"), _words("lemmas"), F.col("modal")).alias("tam"), lambda: classify.has_modal(_words("lemmas")).alias("has_modal")),
