@@ -10,7 +10,11 @@ from ..functions.schemas import INSTANCES
 from ..operators.metrics import NAMES
 
 
-def _csv(table: DataFrame, path: str, mode: str) -> None:
+#: Rows of a CSV file. A file with texts of many lines is read by one task, so it must not grow with the table.
+ROWS_A_FILE = 200_000
+
+
+def _csv(table: DataFrame, path: str, mode: str, rows_a_file: int = ROWS_A_FILE) -> None:
     def flat(f: T.StructField) -> Column:
         c = F.col(f.name)
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
@@ -19,13 +23,13 @@ def _csv(table: DataFrame, path: str, mode: str) -> None:
             return F.when(c == float("inf"), "inf").otherwise(c.cast("string")).alias(f.name)
         return c
 
-    out = table.select(*map(flat, table.schema)).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "")
+    out = table.select(*map(flat, table.schema)).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").option("maxRecordsPerFile", rows_a_file)
     out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_corpus(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", mode: str = "error") -> None:
     """(doc_id, text) as a CSV that ``files.read_corpus`` reads; texts are quoted, with all their lines."""
-    _csv(docs.select(F.col("doc_id").cast("string").alias(id_column), F.col("text").alias(text_column)), path, mode)
+    _csv(docs.select(F.col("doc_id").cast("string").alias(id_column), F.col("text").alias(text_column)), path, mode, ROWS_A_FILE // 10)
 
 
 def write_instances(rows: DataFrame, path: str, mode: str = "error") -> None:
